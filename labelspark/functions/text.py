@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # Fixed value: a token is a run of at least two word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-WHITE_SPACE_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# Fixed value: white space at either end of a text, in the Unicode sense.
+WHITE_SPACE_ENDS = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
 
 
 @lru_cache(maxsize=1)
