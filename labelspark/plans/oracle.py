@@ -630,7 +630,7 @@ PER_SECOND = "round(count(*) / CAST(3600 AS DOUBLE), 9) AS rate"
 SQL["request_rate"] = _windows(PER_SECOND, ["method", "endpoint", "status"])
 SQL["volume_rate"] = _windows(PER_SECOND, ["model_type"])
 SQL["mean_inference_time"] = _windows(
-    "round(avg(latency_sec), 6) AS mean_sec", ["model_type"], "status < 400"
+    "round(avg(latency_sec), 12) AS mean_sec", ["model_type"], "status < 400"
 )
 SQL["mean_confidence"] = f"""WITH {LOG}
 SELECT round(avg(confidence), 6) AS mean_confidence FROM v_log WHERE status < 400 AND confidence > 0.1"""

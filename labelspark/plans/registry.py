@@ -651,7 +651,7 @@ def volume_rate(spark, sf_dir):
 @query
 def mean_inference_time(spark, sf_dir):
     rows = traffic.mean_inference_time(inputs.log(spark, sf_dir), WINDOW, SLIDE)
-    return rounded(rows, "mean_sec")
+    return rows.withColumn("mean_sec", F.round("mean_sec", 12))
 
 
 @query
@@ -716,4 +716,4 @@ def stream_mean_inference_time(spark, sf_dir):
         spark, sf_dir, lambda log: live.mean_inference_time(log, WINDOW, SLIDE),
         ["window_start", "model_type"],
     )
-    return rounded(rows.select("window_start", "model_type", "mean_sec"), "mean_sec")
+    return rows.select("window_start", "model_type", F.round("mean_sec", 12).alias("mean_sec"))

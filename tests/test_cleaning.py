@@ -1,0 +1,110 @@
+import pytest
+from pyspark.sql import functions as F
+
+from labelspark.operators import cleaning, contracts
+from labelspark.sources import tables
+from tests.conftest import rows
+
+PARSE_CASES = [
+    (None, []), ("", []), ("[]", []), ("   ", []), ("[28, 12]", [28, 12]), ("['28']", [28]),
+    ('["1","x"]', []), ("28", [28]), (" 28 ", [28]), ("28,12", []), ("28.0", []), ("[1", []),
+    ("[true]", [1]), ("[false, 2]", [0, 2]), ("[null]", []), ("[[1]]", []), ('[{"a":1}]', []),
+    ('[null, 5, [1], {"a":1}]', [5]), ("[-3.9]", [-3]), ("[-3.9, 1e2]", [-3, 100]),
+    ('["28","abc"]', []), ("[3.7, 99]", [3, 99]), ("[1, 1]", [1, 1]), ("[2, 1]", [2, 1]),
+    ('[" 7 ", "+8", "-9"]', [7, 8, -9]), ("['a', 1]", []), ("-5", []), ("[1,]", []),
+    ("\t[4]\n", [4]),
+]
+
+
+def test_parse_label_ids(spark):
+    data = [(i, raw) for i, (raw, _) in enumerate(PARSE_CASES)]
+    df = spark.createDataFrame(data, "instance_id bigint, genre_ids string")
+    got = rows(cleaning.parse_labels(df).select("instance_id", "parsed_ids"), "instance_id")
+    for (i, ids), (raw, want) in zip(got, PARSE_CASES):
+        assert ids == want, raw
+
+
+CATALOGUE = [(1, "a"), (2, "b"), (3, "c")]
+
+
+def _parsed(spark):
+    data = [(1, [1, 1, 9, 2]), (2, [2, 1]), (3, [9]), (4, [])]
+    return spark.createDataFrame(data, "instance_id bigint, parsed_ids array<bigint>")
+
+
+def test_known_labels_keep_order_and_repeats_in_both_forms(spark):
+    catalogue = spark.createDataFrame(CATALOGUE, "id int, name string")
+    want = [(1, [1, 1, 2]), (2, [2, 1]), (3, []), (4, [])]
+    inline = cleaning.keep_known_labels(_parsed(spark), catalogue)
+    by_join = cleaning.keep_known_labels_by_join(
+        _parsed(spark), catalogue.select(F.col("id").cast("bigint").alias("id"))
+    )
+    assert rows(inline.select("instance_id", "known_ids"), "instance_id") == want
+    assert rows(by_join.select("instance_id", "known_ids"), "instance_id") == want
+
+
+def test_empty_catalogue_keeps_nothing(spark):
+    empty = spark.createDataFrame([], "id int, name string")
+    known = cleaning.keep_known_labels(_parsed(spark), empty)
+    assert all(r["known_ids"] == [] for r in known.collect())
+
+
+def test_clean_filters_rows_and_counts(spark):
+    data = [
+        (1, "t", "12345", "[1]"), (2, "t", "123456", "[1]"), (3, "t", None, "[1]"),
+        (4, None, "long enough", "[9]"), (5, None, "long enough", "[1, 2, 9]"),
+    ]
+    raw = spark.createDataFrame(
+        data, "instance_id bigint, title string, overview string, genre_ids string"
+    )
+    catalogue = spark.createDataFrame(CATALOGUE, "id int, name string")
+    kept = cleaning.clean(raw, catalogue)
+    assert rows(kept.select("instance_id", "genre_ids"), "instance_id") == [(2, [1]), (5, [1, 2])]
+    assert rows(cleaning.clean_counts(raw, catalogue)) == [(5, 2, 3)]
+    assert cleaning.clean(raw, catalogue, min_text_length=4).count() == 3
+
+
+def test_dedup_keeps_lowest_id_and_treats_nulls_as_equal(spark):
+    data = [(5, "a", "x"), (2, "a", "x"), (3, None, "x"), (1, None, "x"), (4, "a", None), (6, "a", None)]
+    df = spark.createDataFrame(data, "instance_id bigint, title string, overview string")
+    kept = cleaning.dedup_exact(df)
+    assert [r[0] for r in rows(kept.select("instance_id"), "instance_id")] == [1, 2, 4]
+    assert rows(cleaning.duplicate_count(df)) == [(3,)]
+    assert rows(cleaning.duplicate_count(df.limit(0))) == [(0,)]
+
+
+def test_contracts(spark):
+    data = [(1, "t", [2, 1, 2]), (2, "", [1]), (3, None, [1]), (4, "t", [])]
+    df = spark.createDataFrame(data, "instance_id bigint, title string, genre_ids array<bigint>")
+    got = rows(contracts.check_instances(df).select("instance_id", "genre_ids", "is_valid"), "instance_id")
+    assert got == [(1, [1, 2], True), (2, [1], False), (3, [1], False), (4, [], False)]
+    labels = spark.createDataFrame([(1, "a"), (2, ""), (None, "b"), (3, None)], "id int, name string")
+    assert [r["is_valid"] for r in contracts.check_catalogue(labels).collect()] == [True, False, False, False]
+
+
+@pytest.mark.parametrize(
+    "text, reason, clean",
+    [
+        (None, "missing", None), ("x" * 9, "too_short", None), ("x" * 10, None, "x" * 10),
+        ("x" * 10000, None, "x" * 10000), ("x" * 10001, "too_long", None),
+        (" " * 12, "blank", None), ("  abcdefgh\t\n", None, "abcdefgh"),
+        ("\u00a0\u2003abcdefghij\u00a0", None, "abcdefghij"),
+    ],
+)
+def test_request_contract(spark, text, reason, clean):
+    df = spark.createDataFrame([(1, text)], "instance_id bigint, overview string")
+    row = contracts.check_requests(df).first()
+    assert (row["reject_reason"], row["clean_text"]) == (reason, clean)
+
+
+def test_csv_sources(spark, tmp_path):
+    path = str(tmp_path / "instances.csv")
+    with open(path, "w") as f:
+        f.write('title,overview,genre_ids,extra\nA,"two\nlines, ""quoted""","[1, 2]",x\nB,,28,y\n')
+    df = tables.with_instance_id(tables.read_instances(spark, path))
+    got = {r["title"]: (r["overview"], r["genre_ids"], r["extra"]) for r in df.collect()}
+    assert got == {"A": ('two\nlines, "quoted"', "[1, 2]", "x"), "B": (None, "28", "y")}
+    with pytest.raises(FileNotFoundError):
+        tables.read_instances(spark, str(tmp_path / "missing.csv"))
+    with pytest.raises(ValueError, match="missing required catalogue columns"):
+        tables.read_catalogue(spark, path)

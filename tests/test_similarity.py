@@ -1,0 +1,135 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from labelspark.operators import neighbours, similarity, tfidf
+from labelspark.session import materialize
+
+PROFILE = tfidf.TextProfile((1, 2), 300, sublinear_tf=True)
+WORDS = ["ant", "bee", "cat", "dog", "eel", "fox", "gnu", "hen", "ibis", "jay"]
+
+
+def _texts(seed, n, length=12, copies=0):
+    """Random word texts; some are one text repeated, some differ from another by a word."""
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(WORDS, size=int(rng.integers(1, length)))) for _ in range(n)]
+    for i in range(copies):
+        texts.append(texts[0])
+        texts.append(texts[1] + " " + WORDS[i % len(WORDS)])
+    return texts
+
+
+def _docs(spark, texts, start=0):
+    return spark.createDataFrame(
+        [(start + i, t) for i, t in enumerate(texts)], "instance_id bigint, overview string"
+    )
+
+
+def _matrix(weights, ids):
+    at = {i: n for n, i in enumerate(ids)}
+    found = weights.collect()
+    matrix = np.zeros((len(ids), 1 + max((r["term_id"] for r in found), default=0)))
+    for r in found:
+        matrix[at[r["instance_id"]], r["term_id"]] = r["weight"]
+    return matrix
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_near_duplicates_equal_brute_force(spark, threshold, monkeypatch):
+    monkeypatch.setattr(similarity, "SPLIT_ROWS", 7)  # force split lookup lists
+    texts = _texts(1, 60, copies=8) + ["", "??"]
+    docs = _docs(spark, texts)
+    vocabulary = materialize(tfidf.fit_vocabulary(docs, PROFILE), "v")
+    matrix = _matrix(tfidf.weights(docs, vocabulary, PROFILE), range(len(texts)))
+    cosine = np.round(matrix @ matrix.T, 9)
+    want = {
+        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if cosine[i, j] >= threshold
+    }
+    pairs = similarity.near_duplicates(docs, threshold, PROFILE)
+    members = similarity.near_duplicate_members(docs, PROFILE).collect()
+    groups = {}
+    for r in members:
+        groups.setdefault(r["rep"], []).append(r["instance_id"])
+    got = set()
+    total = 0
+    for r in pairs.collect():
+        a, b = r["instance_a"], r["instance_b"]
+        written = {
+            (min(x, y), max(x, y)) for x in groups[a] for y in groups[b] if (a != b or x < y)
+        }
+        assert r["n_pairs"] == len(written) and not written & got
+        assert r["similarity"] == pytest.approx(cosine[a, b] if a != b else 1.0)
+        total += r["n_pairs"]
+        got |= written
+    assert got == want and total == len(want)
+    assert similarity.near_duplicate_count(pairs).first()[0] == len(want)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert similarity.near_duplicates(_docs(spark, ["", "one"])).count() == 0
+
+
+def _brute_neighbours(queries, train, query_ids, train_ids, k):
+    squares = (queries**2).sum(1)[:, None] + (train**2).sum(1)[None]
+    distance = np.abs(np.round(squares - 2 * queries @ train.T, 9))
+    want = {}
+    for row, q in enumerate(query_ids):
+        order = sorted(range(len(train_ids)), key=lambda j: (distance[row, j], train_ids[j]))[:k]
+        want[q] = [(train_ids[j], pytest.approx(distance[row, j], abs=1e-8)) for j in order]
+    return want
+
+
+@pytest.mark.parametrize("zeros", [0, 2, 6])
+@pytest.mark.parametrize("tile_rows", [5, 2048])
+def test_neighbours_equal_brute_force(spark, zeros, tile_rows, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", tile_rows)
+    k = 5
+    train_texts = ["!"] * zeros + _texts(2, 30, copies=7) + ["zebra zebra", "yak"]
+    query_texts = _texts(3, 15) + ["", "yak", "yak zebra", "unheard", train_texts[-3]]
+    train, queries = _docs(spark, train_texts), _docs(spark, query_texts, start=1000)
+    vocabulary = materialize(tfidf.fit_vocabulary(train, PROFILE), "v")
+    train_w = materialize(tfidf.weights(train, vocabulary, PROFILE), "t")
+    query_w = materialize(tfidf.weights(queries, vocabulary, PROFILE), "q")
+    size = vocabulary.count()
+
+    def padded(weights, ids):
+        matrix = np.zeros((len(ids), size))
+        small = _matrix(weights, ids)
+        matrix[:, : small.shape[1]] = small[:, :size]
+        return matrix
+
+    train_ids = list(range(len(train_texts)))
+    query_ids = [1000 + i for i in range(len(query_texts))]
+    train_m, query_m = padded(train_w, train_ids), padded(query_w, query_ids)
+    ids = train.select("instance_id")
+    for rows, weights, matrix, names in (
+        (queries, query_w, query_m, query_ids), (train, train_w, train_m, train_ids)
+    ):
+        found = neighbours.nearest_neighbours(rows.select("instance_id"), weights, ids, train_w, k)
+        got = {}
+        for r in found.orderBy("instance_id", "rank").collect():
+            got.setdefault(r["instance_id"], []).append((r["neighbour_id"], r["distance2"]))
+        assert got == _brute_neighbours(matrix, train_m, names, train_ids, k)
+
+
+def test_fewer_training_rows_than_k(spark):
+    docs = _docs(spark, ["ant bee", "cat dog"])
+    vocabulary = materialize(tfidf.fit_vocabulary(docs, PROFILE), "v")
+    weights = materialize(tfidf.weights(docs, vocabulary, PROFILE), "w")
+    ids = docs.select("instance_id")
+    found = neighbours.nearest_neighbours(ids, weights, ids, weights, 10)
+    assert found.count() == 4
+    with pytest.raises(ValueError):
+        neighbours.nearest_neighbours(ids, weights, ids, weights, 0)
+
+
+def test_hot_lead_term_is_split_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 10)
+    leads = spark.range(100).select(F.when(F.col("id") < 70, 1).otherwise(F.col("id")).alias("lead"))
+    tiling = neighbours._tiling(leads)
+    hot = tiling.filter("lead = 1").first()
+    assert hot["tiles"] == 7
+    placed = leads.withColumn("rep", F.monotonically_increasing_id()).join(tiling, "lead")
+    sizes = placed.groupBy(neighbours._tile("rep")).count().agg(F.max("count")).first()[0]
+    assert sizes <= 30

@@ -1,0 +1,83 @@
+import math
+import unicodedata
+
+import pytest
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import functions as F
+
+from labelspark.functions import text as T
+from labelspark.functions.stopwords import ENGLISH
+from labelspark.operators import tfidf
+from labelspark.session import materialize
+
+
+def _one(spark, value, expression):
+    df = spark.createDataFrame([(value,)], "v string").select(expression(F.col("v")).alias("r"))
+    return df.first()["r"]
+
+
+def test_default_stop_words_are_sparks(spark):
+    assert sorted(ENGLISH) == sorted(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+@pytest.mark.parametrize("word", ["éó", "ñçüêäöí", "straße", "plain", "ǖ", "e\u0301a\u0308", "²x", "Ａｂ", None, ""])
+def test_strip_accents_follows_unicode(spark, word):
+    want = word and "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    assert _one(spark, word, T.strip_accents) == want
+
+
+def test_tokens_have_two_word_characters(spark):
+    assert _one(spark, "a bc, d-ef g_h 12 é éa x1", T.tokenize) == ["bc", "ef", "g_h", "12", "éa", "x1"]
+
+
+@pytest.mark.parametrize(
+    "words, lo, hi, want",
+    [
+        (["a", "b", "c"], 1, 2, ["a", "b", "c", "a b", "b c"]),
+        (["a", "b", "c"], 2, 3, ["a b", "b c", "a b c"]),
+        (["a"], 2, 3, []), ([], 1, 2, []), (["a", "b"], 3, 3, []), (["a", "b"], 1, 3, ["a", "b", "a b"]),
+    ],
+)
+def test_ngrams(spark, words, lo, hi, want):
+    df = spark.createDataFrame([(words,)], "t array<string>")
+    assert df.select(T.ngrams(F.col("t"), lo, hi).alias("g")).first()["g"] == want
+
+
+def test_ngram_range_is_checked():
+    with pytest.raises(ValueError):
+        T.ngrams(None, 2, 1)
+
+
+TEXTS = ["Red fox red", "red dog the", "Blue fox runs", "the the", "sky"]
+
+
+def _docs(spark, texts=TEXTS):
+    return spark.createDataFrame(list(enumerate(texts)), "instance_id bigint, overview string")
+
+
+def test_vocabulary_limits_and_order(spark):
+    profile = tfidf.TextProfile((1, 1), 2, stop_words=("the",), min_df=1)
+    got = tfidf.fit_vocabulary(_docs(spark), profile).orderBy("term_id").collect()
+    assert [(r["term"], r["df"], r["cf"]) for r in got] == [("fox", 2, 2), ("red", 2, 3)]
+    assert got[0]["idf"] == pytest.approx(math.log(6 / 3) + 1)
+    limited = tfidf.TextProfile((1, 1), 10, min_df=2, max_df_ratio=0.3)
+    assert tfidf.fit_vocabulary(_docs(spark), limited).count() == 0
+
+
+def test_weights_are_unit_vectors_and_skip_unknown_terms(spark):
+    profile = tfidf.TextProfile((1, 2), 50, stop_words=("the",), sublinear_tf=True)
+    vocabulary = tfidf.fit_vocabulary(_docs(spark), profile)
+    new = _docs(spark, ["red red unknown", "nothing here", "red fox"])
+    weights = tfidf.weights(new, vocabulary, profile)
+    norms = {r[0]: r[1] for r in weights.groupBy("instance_id").agg(F.sum(F.col("weight") ** 2)).collect()}
+    assert set(norms) == {0, 2}
+    assert all(v == pytest.approx(1) for v in norms.values())
+    first = {r["term"]: r["tf"] for r in weights.filter("instance_id = 0").collect()}
+    assert first == {"red": 2}
+
+
+def test_placement_is_the_only_shuffle_of_the_texts(spark):
+    vocabulary = materialize(tfidf.fit_vocabulary(_docs(spark), tfidf.NEAR_DUPLICATES), "v")
+    plan = tfidf.weights(_docs(spark), vocabulary, tfidf.NEAR_DUPLICATES)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
