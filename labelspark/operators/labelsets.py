@@ -165,7 +165,7 @@ def over_labelled(sets: DataFrame, limit: int = MAX_LABELS) -> DataFrame:
 
 
 def _pairs(sets: DataFrame) -> DataFrame:
-    """(n, a, copies_a, b, copies_b): label pairs a < b inside each combination.
+    """(n, a, copies_a, b, copies_b): label pairs a <= b inside each combination.
 
     Built in the row, without a join. The size is bounded by the square of the label set,
     once per distinct combination.
@@ -176,7 +176,7 @@ def _pairs(sets: DataFrame) -> DataFrame:
         "n",
         F.col("one.label_ids").alias("a"),
         F.col("one.copies").alias("copies_a"),
-        F.explode(F.slice("labels", F.col("at") + 2, F.size("labels"))).alias("two"),
+        F.explode(F.slice("labels", F.col("at") + 1, F.size("labels"))).alias("two"),
     ).select(
         "n", "a", "copies_a", F.col("two.label_ids").alias("b"), F.col("two.copies").alias("copies_b")
     )
@@ -184,7 +184,9 @@ def _pairs(sets: DataFrame) -> DataFrame:
 
 def pair_counts(sets: DataFrame) -> DataFrame:
     """(a, b, n_both): instances that hold both labels, a < b, repeats ignored."""
-    return _pairs(sets).groupBy("a", "b").agg(F.sum("n").alias("n_both"))
+    return (
+        _pairs(sets).filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum("n").alias("n_both"))
+    )
 
 
 def label_cooccurrence(sets: DataFrame) -> DataFrame:
@@ -193,16 +195,16 @@ def label_cooccurrence(sets: DataFrame) -> DataFrame:
     Repeats count: a label held c times next to one held d times gives c * d pairs, and
     c * (c - 1) / 2 pairs with itself.
     """
-    mixed = _pairs(sets).select(
-        "a", "b", (F.col("copies_a") * F.col("copies_b") * F.col("n")).alias("pairs")
-    )
-    same = (
-        sets.select("n", F.explode(F.arrays_zip("label_ids", "copies")).alias("l"))
-        .select("n", F.col("l.label_ids").alias("a"), F.col("l.copies").alias("c"))
-        .filter(F.col("c") > 1)
-        .select("a", F.col("a").alias("b"), F.expr("n * (c * (c - 1) div 2)").alias("pairs"))
+    pairs = F.when(
+        F.col("a") == F.col("b"), F.expr("copies_a * (copies_a - 1) div 2")
+    ).otherwise(F.col("copies_a") * F.col("copies_b"))
+    return (
+        _pairs(sets)
+        .select("a", "b", (pairs * F.col("n")).alias("pairs"))
+        .filter(F.col("pairs") > 0)
+        .groupBy("a", "b")
+        .agg(F.sum("pairs").alias("count"))
     )
-    return mixed.unionAll(same).groupBy("a", "b").agg(F.sum("pairs").alias("count"))
 
 
 def top_cooccurrence(sets: DataFrame, catalogue: DataFrame, top: int = TOP_PAIRS) -> DataFrame:

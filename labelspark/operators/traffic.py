@@ -140,38 +140,51 @@ def mean_confidence(log: DataFrame) -> DataFrame:
     return logged_confidences(log).agg(F.avg("confidence").alias("mean_confidence"))
 
 
-def _series(rows: DataFrame, metric: str, labels: list[str], value: str, le=None) -> DataFrame:
-    pairs = [part for name in labels for part in (F.lit(name), F.col(name).cast("string"))]
+def _labels(names: list[str]) -> Column:
+    return F.create_map(*[p for n in names for p in (F.lit(n), F.col(n).cast("string"))])
+
+
+def _counter_series(rows: DataFrame, metric: str, labels: list[str]) -> DataFrame:
     return rows.select(
-        F.lit(metric).alias("metric"),
-        F.create_map(*pairs).alias("labels"),
-        (F.lit(None).cast("string") if le is None else F.col(le)).alias("le"),
-        F.col(value).cast("double").alias("value"),
+        F.lit(metric).alias("metric"), _labels(labels).alias("labels"),
+        F.lit(None).cast("string").alias("le"), F.col("count").cast("double").alias("value"),
+    )
+
+
+def _histogram_series(rows: DataFrame, metric: str, labels: list[str]) -> DataFrame:
+    """Bucket, sum and count series of one histogram, from a single pass over it."""
+    none = F.lit(None).cast("string")
+
+    def point(suffix: str, le: Column, value: str) -> Column:
+        return F.struct(
+            F.lit(f"{metric}_{suffix}").alias("metric"), le.alias("le"),
+            F.col(value).cast("double").alias("value"),
+        )
+
+    bucket = point("bucket", F.col("le"), "cumulative")
+    totals = F.array(bucket, point("sum", none, "sum"), point("count", none, "total"))
+    points = F.when(F.col("le") == OPEN_BUCKET, totals).otherwise(F.array(bucket))
+    return rows.select(_labels(labels).alias("labels"), F.explode(points).alias("point")).select(
+        "point.metric", "labels", "point.le", "point.value"
     )
 
 
 def metrics_snapshot(log: DataFrame) -> DataFrame:
     """(metric, labels MAP, le, value): the current value of every series."""
+    request_labels = ["method", "endpoint", "status"]
     parts = [
-        _series(
-            request_count(log), "http_requests_total", ["method", "endpoint", "status"], "count"
+        _counter_series(request_count(log), "http_requests_total", request_labels),
+        _counter_series(prediction_volume(log), "model_requests_total", ["model_type"]),
+        _histogram_series(latency_histogram(log), "http_request_duration_seconds", ["endpoint"]),
+        _histogram_series(
+            inference_histogram(log), "model_inference_duration_seconds", ["model_type"]
         ),
-        _series(prediction_volume(log), "model_requests_total", ["model_type"], "count"),
-    ]
-    histograms = [
-        ("http_request_duration_seconds", latency_histogram(log), ["endpoint"]),
-        ("model_inference_duration_seconds", inference_histogram(log), ["model_type"]),
-        (
-            "model_prediction_confidence",
+        _histogram_series(
             confidence_histogram(logged_confidences(log)),
+            "model_prediction_confidence",
             ["model_type", "genre"],
         ),
     ]
-    for metric, rows, labels in histograms:
-        last = rows.filter(F.col("le") == OPEN_BUCKET)
-        parts.append(_series(rows, f"{metric}_bucket", labels, "cumulative", "le"))
-        parts.append(_series(last, f"{metric}_sum", labels, "sum"))
-        parts.append(_series(last, f"{metric}_count", labels, "total"))
     snapshot = parts[0]
     for part in parts[1:]:
         snapshot = snapshot.unionAll(part)

@@ -136,6 +136,11 @@ def _document_sets(spark, sf_dir):
     return labelsets.label_sets(inputs.labelled_documents(spark, sf_dir))
 
 
+def _stored(sets):
+    """Label sets that several parts of one query read."""
+    return materialize(sets, "label-sets")
+
+
 def _basket_distribution(spark, sf_dir):
     return labelsets.label_distribution_of_incidence(
         inputs.baskets(spark, sf_dir), inputs.basket_catalogue(spark, sf_dir)
@@ -200,7 +205,7 @@ def label_cooccurrence_all(spark, sf_dir):
 @query
 def label_nmi(spark, sf_dir):
     pairs = association.pair_tables(
-        _basket_sets(spark, sf_dir), inputs.basket_catalogue(spark, sf_dir)
+        _stored(_basket_sets(spark, sf_dir)), inputs.basket_catalogue(spark, sf_dir)
     )
     return rounded(association.label_nmi(pairs), "nmi")
 
@@ -208,7 +213,7 @@ def label_nmi(spark, sf_dir):
 @query
 def label_nmi_top(spark, sf_dir):
     pairs = association.pair_tables(
-        _document_sets(spark, sf_dir), inputs.document_catalogue(spark)
+        _stored(_document_sets(spark, sf_dir)), inputs.document_catalogue(spark)
     )
     return rounded(association.top_nmi(pairs), "nmi")
 
@@ -216,7 +221,7 @@ def label_nmi_top(spark, sf_dir):
 @query
 def label_phi(spark, sf_dir):
     pairs = association.pair_tables(
-        _basket_sets(spark, sf_dir), inputs.basket_catalogue(spark, sf_dir)
+        _stored(_basket_sets(spark, sf_dir)), inputs.basket_catalogue(spark, sf_dir)
     )
     return rounded(association.label_phi(pairs), "phi", "phi_signed")
 
@@ -224,7 +229,7 @@ def label_phi(spark, sf_dir):
 @query
 def label_phi_documents(spark, sf_dir):
     pairs = association.pair_tables(
-        _document_sets(spark, sf_dir), inputs.document_catalogue(spark)
+        _stored(_document_sets(spark, sf_dir)), inputs.document_catalogue(spark)
     )
     return rounded(association.label_phi(pairs), "phi", "phi_signed")
 
@@ -273,7 +278,7 @@ def label_count_histogram(spark, sf_dir):
 @query
 def cooccurrence_matrix(spark, sf_dir):
     return labelsets.cooccurrence_matrix(
-        _basket_sets(spark, sf_dir), _basket_distribution(spark, sf_dir)
+        _stored(_basket_sets(spark, sf_dir)), _basket_distribution(spark, sf_dir)
     )
 
 

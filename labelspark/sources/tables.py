@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelspark.session import materialize
 
 INSTANCE_COLUMNS = ("title", "overview", "genre_ids")
 CATALOGUE_COLUMNS = ("id", "name")
@@ -42,17 +45,15 @@ def read_instances(spark: SparkSession, path: str, source: str = "csv") -> DataF
 
 
 def with_instance_id(instances: DataFrame) -> DataFrame:
-    """Cast a given ``instance_id``, or derive one that only depends on the row's content.
+    """Cast a given ``instance_id``, or number the rows in reading order.
 
-    The derived id is a 64-bit digest of all columns, the same on every read, so a lost task
-    that is run again gives the same ids. Fully equal rows get equal ids; give such tables a
-    key of their own, or remove copies first.
+    Numbers have gaps and follow the files' rows. The numbered table is written once, so
+    every later step and every repeated task sees the same ids.
     """
-    from pyspark.sql import functions as F
-
     if "instance_id" in instances.columns:
         return instances.withColumn("instance_id", F.col("instance_id").cast("bigint"))
-    return instances.withColumn("instance_id", F.xxhash64(*[F.col(c) for c in instances.columns]))
+    numbered = instances.withColumn("instance_id", F.monotonically_increasing_id())
+    return materialize(numbered, "numbered-instances")
 
 
 def read_catalogue(spark: SparkSession, path: str, source: str = "csv") -> DataFrame:

@@ -108,3 +108,13 @@ def test_csv_sources(spark, tmp_path):
         tables.read_instances(spark, str(tmp_path / "missing.csv"))
     with pytest.raises(ValueError, match="missing required catalogue columns"):
         tables.read_catalogue(spark, path)
+
+
+def test_numbered_rows_let_dedup_remove_full_copies(spark, tmp_path):
+    path = str(tmp_path / "instances.csv")
+    with open(path, "w") as f:
+        f.write("title,overview,genre_ids\n" + "A,some text,[1]\n" * 3 + "A,some text,[2]\nB,some text,[1]\n")
+    df = tables.with_instance_id(tables.read_instances(spark, path))
+    kept = cleaning.dedup_exact(df)
+    assert rows(kept.select("title", "genre_ids"), "title") == [("A", "[1]"), ("B", "[1]")]
+    assert kept.agg(F.min("instance_id")).first()[0] == df.agg(F.min("instance_id")).first()[0]

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from labelspark.plans import profile
+from labelspark.plans import profile, registry
 from labelspark.sources import reports
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -24,6 +24,21 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_preparation():
+    """Split, vocabulary and weights are the same for all model queries: prepare them once."""
+    prepare, kept = registry._prepared, {}
+
+    def once(spark, sf_dir):
+        if sf_dir not in kept:
+            kept[sf_dir] = prepare(spark, sf_dir)
+        return kept[sf_dir]
+
+    registry._prepared = once
+    yield
+    registry._prepared = prepare
+
+
 def _plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return "NULL"
