@@ -5,8 +5,8 @@ instance without a known term is the zero vector: distance 0 to another zero vec
 squared distance 1 to any unit vector.
 
 Training vectors are placed in *tiles* of limited size, together with vectors that share
-their heaviest term. A query first looks into its own tile; the k-th cosine found there is
-a threshold, and only tiles that could hold something better are visited after that. Inside
+their heaviest term. A query first looks into its most promising tile; the k-th cosine found
+there is a threshold, and only tiles that could hold something better are visited after that. Inside
 a task one tile meets a limited number of queries, and only the k best leave it: pairs are
 never written out, and no task holds a frequent term, a copied text or a whole side.
 """
@@ -226,19 +226,18 @@ def nearest_vectors(queries: DataFrame, train: DataFrame, k: int, zero_rows: int
     many zero vectors the training side has: with k of them, nothing below a cosine of 0.5
     can matter.
     """
-    tiling = materialize(_tiling(train.select("lead")), "knn-tiling")
     tiles = materialize(
-        train.join(tiling, "lead").select("rep", _tile("rep").alias("tile"), "terms", "weights"),
+        train.join(_tiling(train.select("lead")), "lead").select("rep", _tile("rep").alias("tile"), "terms", "weights"),
         "knn-tiles",
     )
-    home = queries.select("rep", "lead").join(tiling, "lead").select("rep", _tile("rep").alias("tile"))
+    bounds = materialize(_bounds(queries, tiles), "knn-bounds")
+    home = bounds.groupBy("rep").agg(F.max_by("tile", F.struct("bound", "tile")).alias("tile"))
     floor = 0.5 - SLACK if zero_rows >= k else 0.0
     first = materialize(
         _visit(home.withColumn("threshold", F.lit(floor)), queries, tiles, k), "knn-first"
     )
     visits = (
-        _bounds(queries, tiles)
-        .join(home, ["rep", "tile"], "left_anti")
+        bounds.join(home, ["rep", "tile"], "left_anti")
         .join(_found_at_home(first, k, floor), "rep", "left")
         .withColumn("threshold", F.coalesce("threshold", F.lit(floor)))
         .filter(F.col("bound") >= F.col("threshold"))

@@ -51,10 +51,17 @@ def prepare(
     seed: int | None = None,
     profile: tfidf.TextProfile = tfidf.FEATURES,
 ) -> Prepared:
-    """Split, vocabulary (training rows only) and weights of both parts."""
+    """Split, vocabulary (training rows only) and weights of both parts.
+
+    The texts are written once, training and validation rows apart, since they are read
+    several times.
+    """
     parts = materialize(split.stratified_split(instances, test_size, seed), "split")
     placed = instances.join(parts.select("instance_id", "is_validation"), "instance_id")
-    placed = materialize(placed, "split-instances")
+    placed = materialize(
+        placed.select("instance_id", "overview", "genre_ids", "is_validation"),
+        "split-instances", partition_by=("is_validation",),
+    )
     train = placed.filter(~F.col("is_validation"))
     validation = placed.filter(F.col("is_validation"))
     for name, part in (("training", train), ("validation", validation)):
@@ -186,7 +193,8 @@ def train_all(
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}, expected some of {MODELS}")
     spark = instances.sparkSession
-    instances = materialize(cleaning.dedup_exact(instances), "instances")
+    kept = materialize(cleaning.first_copies(instances), "first-copies")
+    instances = instances.join(kept, "instance_id", "left_semi")
     prepared = prepare(instances, catalogue, test_size, seed, profile)
     fits = {
         BINARY_RELEVANCE: lambda: train_binary_relevance(prepared, c),
