@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +12,12 @@ _CHECKPOINT_CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the session's ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors are one machine, may go without
-    the setting; it then gets a folder of its own.
+    Without that setting the session's warehouse is taken, which executors share too.
     """
     folder = spark.conf.get(_CHECKPOINT_CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_CONF} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="labelspark-")
-    spark.conf.set(_CHECKPOINT_CONF, folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
