@@ -21,23 +21,21 @@ def stratified_split(
     p goes to validation where floor(p * t) steps up. Each label set's share is within one
     row of t, and so is the total. The position p is found without a global sort: counts
     per (set, bucket) give the offset of a bucket, and rows are numbered inside buckets. A
-    seed changes the order of the instances.
+    seed changes the order of the instances. An instance without labels, null or empty, has
+    the empty label set; one without an id has the empty digest.
     """
     if not 0 < test_size < 1:
         raise ValueError(f"test_size must be in (0, 1), got {test_size}")
     share = Fraction(test_size).limit_denominator(10_000)
     salt = "" if seed is None else f"{seed}:"
 
-    set_key = F.array_join(
-        F.array_sort(F.array_distinct(F.col("genre_ids").cast("array<bigint>"))).cast(
-            "array<string>"
-        ),
-        ",",
-    )
+    labels = F.array_sort(F.array_distinct(F.col("genre_ids").cast("array<bigint>")))
+    set_key = F.coalesce(F.array_join(labels.cast("array<string>"), ","), F.lit(""))
+    id_text = F.coalesce(F.col("instance_id").cast("string"), F.lit(""))
     rows = instances.select(
         "instance_id",
         set_key.alias("set_key"),
-        F.md5(F.concat(F.lit(salt), F.col("instance_id").cast("string"))).alias("digest"),
+        F.md5(F.concat(F.lit(salt), id_text)).alias("digest"),
     ).withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
 
     sizes = rows.groupBy("set_key", "bucket").agg(F.count("*").alias("n"))

@@ -118,3 +118,13 @@ def test_numbered_rows_let_dedup_remove_full_copies(spark, tmp_path):
     kept = cleaning.dedup_exact(df)
     assert rows(kept.select("title", "genre_ids"), "title") == [("A", "[1]"), ("B", "[1]")]
     assert kept.agg(F.min("instance_id")).first()[0] == df.agg(F.min("instance_id")).first()[0]
+
+
+def test_repeated_ids_keep_their_own_labels(spark):
+    raw = spark.createDataFrame(
+        [(7, "t", "long enough", "[1]"), (7, "t", "long enough", "[2, 9, 2]"), (8, "t", "text", None)],
+        "instance_id long, title string, overview string, genre_ids string",
+    )
+    catalogue = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    got = cleaning.keep_known_labels(cleaning.parse_labels(raw), catalogue)
+    assert sorted(r["known_ids"] for r in got.collect()) == [[], [1], [2, 2]]
