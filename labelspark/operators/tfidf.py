@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspark.functions import text as T
 from labelspark.functions.stopwords import ENGLISH
+from labelspark.session import materialize
 
 
 @dataclass(frozen=True)
@@ -32,11 +33,6 @@ FEATURES = TextProfile(
 NEAR_DUPLICATES = TextProfile(ngram_range=(2, 3), max_features=1000)
 
 
-def by_instance(instances: DataFrame) -> DataFrame:
-    """Place the texts by ``instance_id``: the one shuffle all per-instance steps share."""
-    return instances.select("instance_id", "overview").repartition("instance_id")
-
-
 def tokens(instances: DataFrame, profile: TextProfile) -> DataFrame:
     """(instance_id, tokens): normalised words in text order, stop words removed."""
     words = T.tokenize(T.normalize_text(F.col("overview"), profile.fold_accents))
@@ -45,14 +41,19 @@ def tokens(instances: DataFrame, profile: TextProfile) -> DataFrame:
     )
 
 
+def gram_lists(instances: DataFrame, profile: TextProfile) -> DataFrame:
+    """(instance_id, grams): all n-grams of an instance, with repeats."""
+    grams = T.ngrams(F.col("tokens"), *profile.ngram_range)
+    return tokens(instances, profile).select("instance_id", grams.alias("grams"))
+
+
 def terms(instances: DataFrame, profile: TextProfile) -> DataFrame:
     """(instance_id, term): one row per n-gram occurrence."""
-    grams = T.ngrams(F.col("tokens"), *profile.ngram_range)
-    return tokens(instances, profile).select("instance_id", F.explode(grams).alias("term"))
+    return gram_lists(instances, profile).select("instance_id", F.explode("grams").alias("term"))
 
 
 def term_counts(instances: DataFrame, profile: TextProfile) -> DataFrame:
-    """(instance_id, term, tf). No shuffle when ``instances`` is placed by ``instance_id``."""
+    """(instance_id, term, tf); what moves is terms, combined before, not texts."""
     return (
         terms(instances, profile)
         .groupBy("instance_id", "term")
@@ -60,6 +61,50 @@ def term_counts(instances: DataFrame, profile: TextProfile) -> DataFrame:
     )
 
 
+def corpus_counts(instances: DataFrame, profile: TextProfile) -> DataFrame:
+    """(term, df, cf). An instance is one row, so its distinct terms are known there: both
+    counts are partial sums and texts do not move."""
+    marked = lambda column, once: F.transform(
+        column, lambda g: F.struct(g.alias("term"), F.lit(once).alias("once"))
+    )
+    both = F.concat(marked("grams", 0), marked(F.array_distinct("grams"), 1))
+    return (
+        gram_lists(instances, profile)
+        .select(F.inline(both))
+        .groupBy("term")
+        .agg(F.sum("once").alias("df"), F.count_if(F.col("once") == 0).alias("cf"))
+    )
+
+
+def _first(counted: DataFrame, order: Column, limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows surely among the first ``limit`` by ``order``, rows tied at the cut, how many of
+    those belong to the first). Counts per value of ``order`` find the cut."""
+    running = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = (
+        counted.groupBy(order.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(running))
+        .filter(F.col("upto") >= limit).orderBy("value").select("value", "n", "upto").first()
+    )
+    if cut is None:
+        return counted, counted.limit(0), 0
+    value = F.lit(cut["value"])
+    return (
+        counted.filter(order < value), counted.filter(order == value),
+        limit - (cut["upto"] - cut["n"]),
+    )
+
+
+def most_frequent(counted: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` rows of (term, cf, ...) with the highest cf, ties by term.
+
+    The cut is found from counts per cf, then per first letters among its ties, and only what
+    is tied there too is ordered. ``counted`` is read several times: pass a written table.
+    """
+    sure, ties, more = _first(counted, -F.col("cf"), limit)
+    early, rest, last = _first(ties, F.substring("term", 1, 4), more) if more else (ties, ties, 0)
+    return sure.unionAll(early).unionAll(rest.orderBy("term").limit(last))
+
+
 def fit_vocabulary(instances: DataFrame, profile: TextProfile) -> DataFrame:
     """(term, df, cf, idf, term_id, rarity): at most ``max_features`` terms.
 
@@ -68,16 +113,14 @@ def fit_vocabulary(instances: DataFrame, profile: TextProfile) -> DataFrame:
     rarest up. Both windows run over ``max_features`` rows at most.
     """
     n_docs = instances.agg(F.count(F.lit(1)).alias("n")).scalar()
-    top = (
-        term_counts(by_instance(instances), profile)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    counted = materialize(
+        corpus_counts(instances, profile)
         .filter(F.col("df") >= profile.min_df)
         .withColumn("n_docs", n_docs)
-        .filter(F.col("df") <= F.col("n_docs") * F.lit(float(profile.max_df_ratio)))
-        .orderBy(F.desc("cf"), "term")
-        .limit(profile.max_features)
+        .filter(F.col("df") <= F.col("n_docs") * F.lit(float(profile.max_df_ratio))),
+        "term-counts",
     )
+    top = most_frequent(counted, profile.max_features)
     return top.select(
         "term", "df", "cf",
         (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"),
@@ -89,16 +132,17 @@ def fit_vocabulary(instances: DataFrame, profile: TextProfile) -> DataFrame:
 def weights(instances: DataFrame, vocabulary: DataFrame, profile: TextProfile) -> DataFrame:
     """(instance_id, term, term_id, rarity, tf, weight): L2-normalised TF-IDF, known terms only.
 
-    The vocabulary join comes before the counting, so only kept terms are grouped. Grouping
-    and norm reuse the placement by ``instance_id``. Instances without a known term have no
-    rows.
+    Terms meet the vocabulary before anything moves, so the one shuffle by ``instance_id``
+    carries known terms, no texts; grouping and norm use its placement. Instances without a
+    known term have no rows.
     """
     tf = F.col("tf").cast("double")
     raw = ((1 + F.log(tf)) if profile.sublinear_tf else tf) * F.col("idf")
     per_instance = Window.partitionBy("instance_id")
     return (
-        terms(by_instance(instances), profile)
+        terms(instances, profile)
         .join(vocabulary.select("term", "term_id", "rarity", "idf"), "term")
+        .repartition("instance_id")
         .groupBy("instance_id", "term", "term_id", "rarity", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("raw", raw)

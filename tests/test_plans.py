@@ -28,6 +28,24 @@ def test_no_cross_join_and_no_python(spark, name):
         assert operator not in plan
 
 
+@pytest.mark.parametrize("name", ["tokens", "vocabulary", "tfidf_weights", "ngrams"])
+def test_texts_are_not_shuffled(spark, name):
+    """No exchange carries the text column; the vocabulary is no top-n of one task."""
+    query = registry.QUERIES[name](spark, SF_DIR)
+    plan = query._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "Exchange" in node.nodeName():
+            found.append(node.output().mkString(","))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert not any("overview" in f or "text" in f for f in found)
+
+
 def test_scans_read_only_needed_columns(spark):
     plan = _plan(spark, "label_distribution")
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in plan
