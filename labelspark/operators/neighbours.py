@@ -5,9 +5,11 @@ instance without a known term is the zero vector: distance 0 to another zero vec
 squared distance 1 to any unit vector.
 
 Training vectors are placed in *tiles* of limited size, together with vectors that share
-their heaviest term. A query first looks into its most promising tile; the k-th cosine found
-there is a threshold, and only tiles that could hold something better are visited after that. Inside
-a task one tile meets a limited number of queries, and only the k best leave it: pairs are
+their heaviest term. A query first looks into the tile of its own heaviest term; the k-th
+cosine found there is a threshold, and only tiles that could hold something better are looked
+up after that, by the query's rarest terms alone. Where all vectors are about equally far from
+each other no exact search can leave much out: then most tiles that share a rare term are
+visited. Inside a task one tile meets a limited number of queries, and only the k best leave it: pairs are
 never written out, and no task holds a frequent term, a copied text or a whole side.
 """
 
@@ -34,6 +36,10 @@ QUERY_ROWS = 2048
 # A term whose pairs fill more than one in this many cells of a task counts as frequent.
 DENSE_SHARE = 150
 
+# Frequent terms in one dense product, and products of rare terms made at once.
+DENSE_TERMS = 1024
+SLICE_PRODUCTS = 4_000_000
+
 # Distances are rounded to this many digits before ranking; slack keeps pruning safe.
 DIGITS = 9
 SLACK = 1e-8
@@ -80,7 +86,8 @@ def _best_in_tile(k: int):
             (t_rows[kept_t], t_terms, t_weights[kept_t]),
         )
         distances = np.round(2 - 2 * cosines, DIGITS)
-        distances[cosines < np.maximum(queries["threshold"].to_numpy(), SLACK)[:, None]] = np.inf
+        beaten = cosines < queries["threshold"].to_numpy()[:, None]
+        distances[beaten | (cosines <= 0)] = np.inf
         reps = tile["rep"].to_numpy()
         depth = min(k, n_tile)
         limits = np.partition(distances, depth - 1, axis=1)[:, depth - 1 : depth]
@@ -123,8 +130,9 @@ def _shared(q_terms: np.ndarray, t_terms: np.ndarray):
 def _cosines(shape: tuple[int, int], queries, tile) -> np.ndarray:
     """Dot products of all queries with all tile vectors, from entries ordered by term.
 
-    Frequent terms go through a small dense product, the many rare ones are added entry
-    by entry.
+    Frequent terms go through a dense product, a limited number of them at a time; the many
+    rare ones are added entry by entry, in slices of a limited number of products. Memory is
+    that of a few matrices of the given shape, whatever the texts are.
     """
     q_rows, q_terms, q_weights = queries
     t_rows, t_terms, t_weights = tile
@@ -133,23 +141,35 @@ def _cosines(shape: tuple[int, int], queries, tile) -> np.ndarray:
     t_count = np.bincount(t_terms, minlength=n_terms)
     frequent = q_count * t_count > shape[0] * shape[1] / DENSE_SHARE
     place = np.cumsum(frequent) - 1
+    cosines = np.zeros(shape)
 
-    def dense(n_rows, rows, terms, weights):
-        chosen = frequent[terms]
-        matrix = np.zeros((n_rows, int(frequent.sum())))
-        matrix[rows[chosen], place[terms[chosen]]] = weights[chosen]
+    def dense(n_rows, rows, terms, weights, start):
+        at = place[terms] - start
+        chosen = frequent[terms] & (at >= 0) & (at < DENSE_TERMS)
+        matrix = np.zeros((n_rows, DENSE_TERMS))
+        matrix[rows[chosen], at[chosen]] = weights[chosen]
         return matrix
 
-    cosines = dense(shape[0], *queries) @ dense(shape[1], *tile).T
+    for start in range(0, int(frequent.sum()), DENSE_TERMS):
+        cosines += dense(shape[0], *queries, start) @ dense(shape[1], *tile, start).T
 
-    rare = ~frequent[q_terms]
+    rare = np.flatnonzero(~frequent[q_terms])
     repeats = t_count[q_terms[rare]]
     starts = (np.cumsum(t_count) - t_count)[q_terms[rare]]
-    ends = np.cumsum(repeats)
-    at_tile = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + repeats, repeats)
-    cells = np.repeat(q_rows[rare], repeats) * shape[1] + t_rows[at_tile]
-    products = np.repeat(q_weights[rare], repeats) * t_weights[at_tile]
-    cosines += np.bincount(cells, products, minlength=shape[0] * shape[1]).reshape(shape)
+    flat = cosines.reshape(-1)
+    part = np.cumsum(repeats) // SLICE_PRODUCTS
+    for own in np.split(np.arange(len(rare)), np.flatnonzero(np.diff(part)) + 1):
+        if not len(own):
+            continue
+        n, first = repeats[own], starts[own]
+        ends = np.cumsum(n)
+        at_tile = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+        cells = np.repeat(q_rows[rare[own]], n) * shape[1] + t_rows[at_tile]
+        products = np.repeat(q_weights[rare[own]], n) * t_weights[at_tile]
+        if len(cells) * 8 > len(flat):
+            flat += np.bincount(cells, products, minlength=len(flat))
+        else:
+            np.add.at(flat, cells, products)
     return cosines
 
 
@@ -196,26 +216,40 @@ def _found_at_home(first: DataFrame, k: int, floor: float) -> DataFrame:
     )
 
 
-def _bounds(queries: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(rep, tile, bound): the largest cosine a query can reach in a tile it shares a term with.
+def _promising(queries: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(rep, tile, bound) for queries with a ``threshold``: tiles that may hold something better.
 
-    Either every shared term meets its heaviest weight of the tile, or one vector has all of
-    the query's shared terms to itself (Cauchy-Schwarz): the smaller of the two.
+    Terms count from the rarest. A vector that shares none of the first terms of a query has at
+    most the norm of the other terms as cosine; as soon as that norm is below the threshold the
+    other terms need no look-up. So the frequent terms, which lie in nearly all tiles, are
+    looked up only by queries without a threshold worth the name. Of the tiles found, those stay
+    whose bound reaches the threshold: shared terms meet their heaviest weight in the tile, or
+    one vector has all of them to itself (Cauchy-Schwarz), and the other terms count in full.
     """
     heaviest = (
         tiles.select("tile", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
         .groupBy("tile", F.col("e.terms").alias("term"))
         .agg(F.max("e.weights").alias("heaviest"))
     )
-    asked = queries.select("rep", F.explode(F.arrays_zip("terms", "weights")).alias("e")).select(
-        "rep", F.col("e.terms").alias("term"), F.col("e.weights").alias("weight")
+    from_here = Window.partitionBy("rep").orderBy(F.desc("term"))
+    entries = (
+        queries.select("rep", "threshold", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+        .select("rep", "threshold", F.col("e.terms").alias("term"), F.col("e.weights").alias("weight"))
+        .withColumn("tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(from_here)))
+        .withColumn("asked", F.col("tail") >= F.col("threshold") - SLACK)
+        .withColumn("rest", F.max(F.when(~F.col("asked"), F.col("tail")).otherwise(0.0))
+                    .over(Window.partitionBy("rep")))
+    )
+    by_weight = F.sum(F.col("weight") * F.col("heaviest")) + F.first("rest")
+    by_norm = F.sqrt(
+        F.sum(F.col("weight") * F.col("weight")) + F.first("rest") * F.first("rest")
     )
-    by_weight = F.sum(F.col("weight") * F.col("heaviest"))
-    by_norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
     return (
-        asked.join(heaviest, "term")
-        .groupBy("rep", "tile")
+        entries.filter("asked")
+        .join(heaviest, "term")
+        .groupBy("rep", "tile", "threshold")
         .agg(F.least(by_weight, by_norm).alias("bound"))
+        .filter(F.col("bound") >= F.col("threshold") - SLACK)
     )
 
 
@@ -226,21 +260,26 @@ def nearest_vectors(queries: DataFrame, train: DataFrame, k: int, zero_rows: int
     many zero vectors the training side has: with k of them, nothing below a cosine of 0.5
     can matter.
     """
+    tiling = materialize(_tiling(train.select("lead")), "knn-tiling")
     tiles = materialize(
-        train.join(_tiling(train.select("lead")), "lead").select("rep", _tile("rep").alias("tile"), "terms", "weights"),
+        train.join(tiling, "lead").select("rep", _tile("rep").alias("tile"), "terms", "weights"),
         "knn-tiles",
     )
-    bounds = materialize(_bounds(queries, tiles), "knn-bounds")
-    home = bounds.groupBy("rep").agg(F.max_by("tile", F.struct("bound", "tile")).alias("tile"))
+    # At home are the vectors with the same heaviest term.
+    home = materialize(
+        queries.select("rep", "lead").join(tiling, "lead").select("rep", _tile("rep").alias("tile")),
+        "knn-home",
+    )
     floor = 0.5 - SLACK if zero_rows >= k else 0.0
     first = materialize(
         _visit(home.withColumn("threshold", F.lit(floor)), queries, tiles, k), "knn-first"
     )
+    asking = queries.join(_found_at_home(first, k, floor), "rep", "left").withColumn(
+        "threshold", F.coalesce("threshold", F.lit(floor))
+    )
     visits = (
-        bounds.join(home, ["rep", "tile"], "left_anti")
-        .join(_found_at_home(first, k, floor), "rep", "left")
-        .withColumn("threshold", F.coalesce("threshold", F.lit(floor)))
-        .filter(F.col("bound") >= F.col("threshold"))
+        _promising(asking, tiles)
+        .join(home, ["rep", "tile"], "left_anti")
         .select("rep", "tile", "threshold")
     )
     second = _visit(materialize(visits, "knn-visits"), queries, tiles, k)
@@ -306,9 +345,14 @@ def nearest_neighbours(
 
     # Training ids that share no term with a query lie at distance 2; those that do share
     # one are already matched closer, and the lower distance is kept.
+    # Queries whose k matches all lie nearer than a zero vector need none of them.
     filler = F.concat(fixed(zero_ids, 1.0), fixed(unit_ids, 2.0))
+    full = (
+        matches.filter("distance2 < 1").groupBy("query")
+        .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    )
     reps = query_groups.select(F.col("rep").alias("query")).distinct()
-    fill = reps.select("query", F.inline(filler))
+    fill = reps.join(full, "query", "left_anti").select("query", F.inline(filler))
     order = Window.partitionBy("query").orderBy("distance2", "neighbour_id")
     unit = (
         matches.unionAll(fill)

@@ -2,7 +2,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelspark.operators import binary_relevance, metrics, mlknn, ranking, split, tfidf
+from labelspark.operators import (
+    binary_relevance,
+    metrics,
+    mlknn,
+    neighbours,
+    ranking,
+    split,
+    tfidf,
+)
 from labelspark.plans import prediction, training
 from labelspark.sources import artifacts, runs
 from tests.conftest import rows
@@ -217,3 +225,55 @@ def test_compare_models_prefers_low_loss(spark):
             ("r", "binary_relevance", "metric", "f1_micro", "0.2"), ("s", "ml_knn", "metric", "f1_micro", "0.1")]
     got = rows(training.compare_models(spark.createDataFrame(data, runs.RUN_SCHEMA)).select("metric", "best_model", "best_value"), "metric")
     assert got == [("f1_micro", "binary_relevance", 0.2), ("hamming_loss", "ml_knn", 0.1)]
+
+
+def test_unlabelled_instances_stay_in_the_split(spark):
+    df = spark.createDataFrame(
+        [(1, [1]), (2, None), (3, []), (4, [1]), (None, [2])],
+        "instance_id long, genre_ids array<long>",
+    )
+    parts = split.stratified_split(df, 0.25)
+    assert parts.count() == 5
+    assert {r["set_key"] for r in parts.collect()} == {"1", "", "2"}
+
+
+def test_responses_are_bounded_by_their_labels_not_by_k(spark):
+    scores = spark.createDataFrame(
+        [(1, i, f"n{i}", 0.9 - i / 100) for i in range(15)],
+        "instance_id long, label_id int, name string, score double",
+    )
+    few = ranking.predict_response(scores.filter("label_id < 3"), k=20).first()
+    assert few["predicted_labels"] == ["n0", "n1", "n2"]
+    assert len(ranking.predict_response(scores, k=10).first()["predicted_labels"]) == 10
+    with pytest.raises(Exception, match="at most 10"):
+        ranking.predict_response(scores, k=20).collect()
+
+
+def test_unknown_label_lists_all_names(spark):
+    catalogue = spark.range(1001).selectExpr("CAST(id AS int) AS id", "concat('l', id) AS name")
+    scores = spark.createDataFrame([], "instance_id long, label_id int, score double")
+    with pytest.raises(ValueError, match="l1000$"):
+        ranking.label_confidence(scores, catalogue, "none")
+
+
+@pytest.mark.parametrize(("dense", "products"), [(1024, 4_000_000), (2, 7), (1, 1)])
+def test_kernel_slices_give_the_same_cosines(monkeypatch, dense, products):
+    monkeypatch.setattr(neighbours, "DENSE_TERMS", dense)
+    monkeypatch.setattr(neighbours, "SLICE_PRODUCTS", products)
+    pick = np.random.default_rng(1)
+    sides = []
+    for n in (9, 13):
+        matrix = pick.random((n, 30)) * (pick.random((n, 30)) < 0.3)
+        matrix[:, :3] = pick.random((n, 3))
+        rows_, terms = np.nonzero(matrix)
+        order = np.argsort(terms, kind="stable")
+        rows_, terms = rows_[order], terms[order]
+        sides.append((matrix, (rows_, terms, matrix[rows_, terms])))
+    (a, flat_a), (b, flat_b) = sides
+    shared = np.intersect1d(flat_a[1], flat_b[1])
+    flat = [
+        tuple(x[np.isin(f[1], shared)] for x in (f[0], np.searchsorted(shared, f[1]), f[2]))
+        for f in (flat_a, flat_b)
+    ]
+    got = neighbours._cosines((9, 13), *flat)
+    assert np.allclose(got, a @ b.T)

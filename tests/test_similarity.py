@@ -133,3 +133,24 @@ def test_hot_lead_term_is_split_over_tiles(spark, monkeypatch):
     placed = leads.withColumn("rep", F.monotonically_increasing_id()).join(tiling, "lead")
     sizes = placed.groupBy(neighbours._tile("rep")).count().agg(F.max("count")).first()[0]
     assert sizes <= 30
+
+
+def test_few_tiles_are_visited(spark, monkeypatch):
+    """Near copies of their own kind are found at home; other tiles are left alone."""
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 10)
+    visited = []
+    real = neighbours._visit
+    monkeypatch.setattr(
+        neighbours, "_visit",
+        lambda visits, *rest: (visited.append(visits.count()), real(visits, *rest))[1],
+    )
+    texts = [f"kind{g} kind{g} kind{g} own{g} also{g} also{g} w{i} common" for g in range(20) for i in range(8)]
+    docs = _docs(spark, texts)
+    vocabulary = materialize(tfidf.fit_vocabulary(docs, PROFILE), "v")
+    weights = materialize(tfidf.weights(docs, vocabulary, PROFILE), "w")
+    ids = docs.select("instance_id")
+    found = neighbours.nearest_neighbours(ids, weights, ids, weights, 5)
+    assert found.count() == 5 * len(texts)
+    assert found.filter("instance_id div 8 <> neighbour_id div 8").count() == 0
+    n_tiles = 16
+    assert sum(visited) < 0.2 * len(texts) * n_tiles
