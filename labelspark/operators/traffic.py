@@ -169,23 +169,41 @@ def _histogram_series(rows: DataFrame, metric: str, labels: list[str]) -> DataFr
     )
 
 
-def metrics_snapshot(log: DataFrame) -> DataFrame:
-    """(metric, labels MAP, le, value): the current value of every series."""
-    request_labels = ["method", "endpoint", "status"]
+def logged_confidence_histogram(log: DataFrame) -> DataFrame:
+    """Confidences that the log records, by model and label."""
+    return confidence_histogram(logged_confidences(log))
+
+
+# The aggregates a snapshot is made of, in the order ``snapshot_of`` takes them, and the keys of
+# their rows. Each of them also runs on a stream.
+SNAPSHOT_PARTS = (
+    (request_count, ["method", "endpoint", "status"]),
+    (prediction_volume, ["model_type"]),
+    (latency_histogram, ["endpoint", "le"]),
+    (inference_histogram, ["model_type", "le"]),
+    (logged_confidence_histogram, ["model_type", "genre", "le"]),
+)
+
+
+def snapshot_of(
+    requests: DataFrame, volume: DataFrame, latency: DataFrame, inference: DataFrame,
+    confidence: DataFrame,
+) -> DataFrame:
+    """(metric, labels MAP, le, value) from the five aggregates."""
+    # Names of the series.
     parts = [
-        _counter_series(request_count(log), "http_requests_total", request_labels),
-        _counter_series(prediction_volume(log), "model_requests_total", ["model_type"]),
-        _histogram_series(latency_histogram(log), "http_request_duration_seconds", ["endpoint"]),
-        _histogram_series(
-            inference_histogram(log), "model_inference_duration_seconds", ["model_type"]
-        ),
-        _histogram_series(
-            confidence_histogram(logged_confidences(log)),
-            "model_prediction_confidence",
-            ["model_type", "genre"],
-        ),
+        _counter_series(requests, "http_requests_total", ["method", "endpoint", "status"]),
+        _counter_series(volume, "model_requests_total", ["model_type"]),
+        _histogram_series(latency, "http_request_duration_seconds", ["endpoint"]),
+        _histogram_series(inference, "model_inference_duration_seconds", ["model_type"]),
+        _histogram_series(confidence, "model_prediction_confidence", ["model_type", "genre"]),
     ]
     snapshot = parts[0]
     for part in parts[1:]:
         snapshot = snapshot.unionAll(part)
     return snapshot
+
+
+def metrics_snapshot(log: DataFrame) -> DataFrame:
+    """(metric, labels MAP, le, value): the current value of every series."""
+    return snapshot_of(*[build(log) for build, _ in SNAPSHOT_PARTS])

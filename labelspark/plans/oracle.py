@@ -632,6 +632,25 @@ SQL["volume_rate"] = _windows(PER_SECOND, ["model_type"])
 SQL["mean_inference_time"] = _windows(
     "round(avg(latency_sec), 12) AS mean_sec", ["model_type"], "status < 400"
 )
+
+
+def _minute_windows(aggregates: str, by: list[str], where: str = "true") -> str:
+    """Windows of a minute every ten seconds."""
+    keys = ", ".join(by)
+    return f"""WITH {LOG}, placed AS (
+  SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS back,
+         CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 AS slot FROM v_log WHERE {where})
+SELECT slot - back * 10 AS window_start, {keys}, {aggregates} FROM placed GROUP BY 1, {keys}"""
+
+
+PER_SECOND_OF_MINUTE = "round(count(*) / CAST(60 AS DOUBLE), 9) AS rate"
+SQL["request_rate_minute"] = _minute_windows(
+    PER_SECOND_OF_MINUTE, ["method", "endpoint", "status"]
+)
+SQL["volume_rate_minute"] = _minute_windows(PER_SECOND_OF_MINUTE, ["model_type"])
+SQL["mean_inference_time_minute"] = _minute_windows(
+    "round(avg(latency_sec), 12) AS mean_sec", ["model_type"], "status < 400"
+)
 SQL["mean_confidence"] = f"""WITH {LOG}
 SELECT round(avg(confidence), 6) AS mean_confidence FROM v_log WHERE status < 400 AND confidence > 0.1"""
 
@@ -670,3 +689,8 @@ SQL["stream_request_count"] = SQL["request_count"]
 SQL["stream_latency_histogram"] = SQL["latency_histogram"]
 SQL["stream_request_rate"] = SQL["request_rate"]
 SQL["stream_mean_inference_time"] = SQL["mean_inference_time"]
+SQL["stream_inference_histogram"] = SQL["inference_histogram"]
+SQL["stream_prediction_volume"] = SQL["prediction_volume"]
+SQL["stream_volume_rate"] = SQL["volume_rate"]
+SQL["stream_mean_confidence"] = SQL["mean_confidence"]
+SQL["stream_metrics_snapshot"] = SQL["metrics_snapshot"]

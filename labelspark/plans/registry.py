@@ -301,13 +301,8 @@ def label_matrix_density(spark, sf_dir):
 
 def _token_table(spark, sf_dir, stop_words):
     settings = tfidf.TextProfile((1, 1), 1, fold_accents=True, stop_words=stop_words)
-    words = tfidf.tokens(tfidf.by_instance(inputs.documents(spark, sf_dir)), settings)
-    return (
-        words.select("instance_id", F.explode("tokens").alias("token"))
-        .groupBy("instance_id", "token")
-        .agg(F.count("*").alias("tf"))
-        .groupBy("token")
-        .agg(F.sum("tf").alias("n"), F.count("*").alias("n_instances"))
+    return tfidf.corpus_counts(inputs.documents(spark, sf_dir), settings).select(
+        F.col("term").alias("token"), F.col("cf").alias("n"), F.col("df").alias("n_instances")
     )
 
 
@@ -323,13 +318,11 @@ def tokens_no_stop(spark, sf_dir):
 
 @query
 def ngrams(spark, sf_dir):
-    grams = tfidf.term_counts(
-        tfidf.by_instance(inputs.documents(spark, sf_dir)), tfidf.NEAR_DUPLICATES
-    )
-    return grams.groupBy("instance_id").agg(
-        F.sum("tf").alias("n_grams"), F.count("*").alias("n_distinct"),
-        F.min("term").alias("first_gram"), F.max("term").alias("last_gram"),
-    )
+    return tfidf.gram_lists(inputs.documents(spark, sf_dir), tfidf.NEAR_DUPLICATES).select(
+        "instance_id", F.size("grams").cast("bigint").alias("n_grams"),
+        F.size(F.array_distinct("grams")).cast("bigint").alias("n_distinct"),
+        F.array_min("grams").alias("first_gram"), F.array_max("grams").alias("last_gram"),
+    ).filter("n_grams > 0")
 
 
 @query
@@ -659,6 +652,22 @@ def mean_inference_time(spark, sf_dir):
     return rows.withColumn("mean_sec", F.round("mean_sec", 12))
 
 
+@query
+def request_rate_minute(spark, sf_dir):
+    return traffic.request_rate(inputs.log(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
+@query
+def volume_rate_minute(spark, sf_dir):
+    return traffic.volume_rate(inputs.log(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
+@query
+def mean_inference_time_minute(spark, sf_dir):
+    rows = traffic.mean_inference_time(inputs.log(spark, sf_dir))
+    return rows.withColumn("mean_sec", F.round("mean_sec", 12))
+
+
 @query
 def mean_confidence(spark, sf_dir):
     return rounded(traffic.mean_confidence(inputs.log(spark, sf_dir)), "mean_confidence")
@@ -666,7 +675,10 @@ def mean_confidence(spark, sf_dir):
 
 @query
 def metrics_snapshot(spark, sf_dir):
-    rows = traffic.metrics_snapshot(inputs.log(spark, sf_dir))
+    return _series_rows(traffic.metrics_snapshot(inputs.log(spark, sf_dir)))
+
+
+def _series_rows(rows):
     pairs = F.transform(
         F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
@@ -722,3 +734,40 @@ def stream_mean_inference_time(spark, sf_dir):
         ["window_start", "model_type"],
     )
     return rows.select("window_start", "model_type", F.round("mean_sec", 12).alias("mean_sec"))
+
+
+@query
+def stream_inference_histogram(spark, sf_dir):
+    return rounded(
+        _streamed(spark, sf_dir, traffic.inference_histogram, ["model_type", "le"]), "sum"
+    )
+
+
+@query
+def stream_prediction_volume(spark, sf_dir):
+    return _streamed(spark, sf_dir, traffic.prediction_volume, ["model_type"])
+
+
+@query
+def stream_volume_rate(spark, sf_dir):
+    rows = _streamed(
+        spark, sf_dir, lambda log: live.volume_rate(log, WINDOW, SLIDE),
+        ["window_start", "model_type"],
+    )
+    return rows.select(
+        "window_start", "model_type", F.round(F.col("n") / 3600.0, 9).alias("rate")
+    )
+
+
+@query
+def stream_mean_confidence(spark, sf_dir):
+    return rounded(_streamed(spark, sf_dir, traffic.mean_confidence, []), "mean_confidence")
+
+
+@query
+def stream_metrics_snapshot(spark, sf_dir):
+    """Every series from running streams: five aggregates, put together when asked for."""
+    parts = [
+        _streamed(spark, sf_dir, build, keys) for build, keys in traffic.SNAPSHOT_PARTS
+    ]
+    return _series_rows(traffic.snapshot_of(*parts))

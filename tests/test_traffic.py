@@ -91,3 +91,35 @@ def test_stream_equals_batch(spark, tmp_path, files_per_trigger):
         for x, y in zip(a, b):
             for u, v in zip(x, y):
                 assert u == v or math.isclose(u, v)
+
+
+def test_stream_of_unordered_files(spark, tmp_path):
+    """With a lateness that spans the files their order does not matter; counts need none."""
+    log = _log(spark)
+    path = str(tmp_path / "log")
+    for i, part in enumerate(log.randomSplit([1.0] * 6, seed=3)):
+        part.orderBy(*(["ts"] if i % 2 else [log["ts"].desc()])).coalesce(1).write.mode("append").parquet(path)
+    late = "1 day"
+    cases = [
+        (lambda x: live.request_rate(x, lateness=late), ["window_start", "method", "endpoint", "status"]),
+        (lambda x: live.volume_rate(x, lateness=late), ["window_start", "model_type"]),
+        (lambda x: live.mean_inference_time(x, lateness=late), ["window_start", "model_type"]),
+        (traffic.inference_histogram, ["model_type", "le"]),
+        (traffic.logged_confidence_histogram, ["model_type", "genre", "le"]),
+        (traffic.prediction_volume, ["model_type"]),
+        (traffic.mean_confidence, []),
+    ]
+    for i, (build, by) in enumerate(cases):
+        stream = live.read_log(spark, path, log.schema, 1)
+        running = build(stream)
+        live.run(running, f"{tmp_path}/out{i}", f"{tmp_path}/state{i}").awaitTermination()
+        got = live.latest(spark, f"{tmp_path}/out{i}", by, running.schema)
+        a, b = rows(got, *by), rows(build(log).select(*got.columns), *by)
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            assert all(u == v or math.isclose(u, v) for u, v in zip(x, y))
+
+
+def test_latest_before_any_batch(spark, tmp_path):
+    schema = traffic.prediction_volume(_log(spark)).schema
+    assert live.latest(spark, f"{tmp_path}/nothing", ["model_type"], schema).count() == 0
