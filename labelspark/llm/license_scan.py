@@ -70,7 +70,8 @@ SPELLINGS = (
 # Lines that only say whose the text is, and signs that do not count. Both work
 # on lower-cased text.
 COPYRIGHT_LINE = (
-    r"(^|\n)[ \t]*(copyright\b|\(c\)|©)[^\n]*|(^|\n)[ \t]*all rights reserved\.?[ \t]*(\n|$)"
+    r"(^|\n)[ \t]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*"
+    r"|(^|\n)[ \t]*all rights reserved\.?[ \t]*(\n|$)"
 )
 SIGNS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f©‘’“”–—…«»]+"
 

@@ -303,7 +303,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 names=[*batch.schema.names, "sequence_id", "offset"],
             )
 
-    return known.mapInArrow(place, f"{schema}, sequence_id long, offset long").drop("number")
+    placed = known.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return placed.select(*parts.columns, "sequence_id", "offset")
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -1,0 +1,111 @@
+"""SimHash groups and components against plain Python."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+
+from labelspark.llm import simhash
+from labelspark.llm.components import components
+from tests.llm.data import awkward, plain, table, words
+
+
+def slow_fingerprint(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not found:
+        return 0
+    shingles = [" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(
+        1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes)
+    )
+
+
+def slow_groups(marks, distance=3):
+    """Smallest reachable id of each row, by all pairs."""
+    root = list(range(len(marks)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(marks)):
+        for j in range(i):
+            if (marks[i][1] ^ marks[j][1]).bit_count() <= distance:
+                root[find(i)] = find(j)
+    ids = {}
+    for i, (doc_id, _) in enumerate(marks):
+        if doc_id is not None:
+            ids[find(i)] = min(doc_id, ids.get(find(i), doc_id))
+    return [ids.get(find(i)) for i in range(len(marks))]
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_groups_equal_all_pairs(spark, clashing):
+    rows = awkward()
+    base = words(400, 50).split()
+    pick = random.Random(5)
+    for n in range(60):
+        own = list(base)
+        for _ in range(n % 6):
+            own[pick.randrange(len(own))] = "changed"
+        rows.append((300 + n, " ".join(own)))
+    marks = [(i, slow_fingerprint(t)) for i, t in rows]
+    want = [(i, f, c) for (i, f), c in zip(marks, slow_groups(marks))]
+    got = simhash.simhash_groups(table(spark, rows, clashing)).collect()
+    assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == Counter(want)
+    assert len({c for *_, c in want}) < len(want) - 20
+
+
+def test_links_of_random_fingerprints(spark):
+    """Every pair at three or fewer bits is found, at whatever bits."""
+    pick = random.Random(6)
+    marks = []
+    for _ in range(60):
+        base = pick.getrandbits(64)
+        marks.append(base)
+        for _ in range(5):
+            other = base
+            for bit in pick.sample(range(64), pick.randint(1, 4)):
+                other ^= 1 << bit
+            marks.append(other)
+    marks = sorted(set(marks) | {0, 1, 2**63, 2**64 - 1})
+    signed = [m - 2**64 if m >= 2**63 else m for m in marks]
+    rows = spark.createDataFrame([(m,) for m in signed], "fp long")
+    got = {frozenset((r.a % 2**64, r.b % 2**64)) for r in simhash.fingerprint_links(rows).collect()}
+    want = {
+        frozenset((a, b)) for i, a in enumerate(marks) for b in marks[:i]
+        if (a ^ b).bit_count() <= 3
+    }
+    assert got == want and len(want) > 200
+
+
+def test_empty_table(spark):
+    assert simhash.simhash_groups(table(spark, [])).count() == 0
+
+
+def test_distance_beyond_the_method_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.fingerprint_links(spark.createDataFrame([], "fp long"), 4)
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    pick = random.Random(7)
+    order = list(range(1000, 1200))
+    pick.shuffle(order)
+    links = list(zip(order, order[1:])) + [(1, n) for n in range(2, 80)] + [(500, 500), (501, 502)]
+    links += [(n, n + 1) for n in range(2000, 2100)] + [(n + 1, n) for n in range(3000, 3100)]
+    got = dict(plain(components(spark.createDataFrame(links, "a long, b long"))))
+    assert {got[n] for n in order} == {1000}
+    assert {got[n] for n in range(1, 80)} == {1}
+    assert got[502] == got[501] == 501 and 500 not in got
+    assert {got[n] for n in range(2000, 2101)} == {2000}
+    assert {got[n] for n in range(3000, 3101)} == {3000}
+
+
+def test_components_of_nothing(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
