@@ -1,8 +1,9 @@
 """Evaluation of multi-label predictions.
 
 Input is long: one row per (instance_id, label_id) with the truth ``y`` (0/1) and either a
-``score`` or a decision ``predicted`` (0/1). Every instance has a row for every label. Each
-result is a one-row DataFrame.
+``score`` or a decision ``predicted`` (0/1). Every instance has a row for every label; where the
+numbers of rows differ, the figures per instance are an error. Each result is a one-row
+DataFrame.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelspark.checks import require
+
 # Fixed values of the evaluation.
 DECISION_THRESHOLD = 0.5
 DEFAULT_K = 3
@@ -29,8 +32,8 @@ def subset_accuracy(decisions: DataFrame) -> DataFrame:
     right = (F.col("y") == F.col("predicted")).cast("int")
     return (
         decisions.groupBy("instance_id")
-        .agg(F.min(right).alias("all_right"))
-        .agg(F.avg(F.col("all_right").cast("double")).alias("subset_accuracy"))
+        .agg(F.min(right).alias("all_right"), F.count(F.lit(1)).alias("n_labels"))
+        .agg(_whole(F.avg(F.col("all_right").cast("double"))).alias("subset_accuracy"))
     )
 
 
@@ -57,8 +60,15 @@ def ranked(scores: DataFrame) -> DataFrame:
 
 
 def _require_positive(k: int) -> None:
-    if k <= 0:
-        raise ValueError(f"k must be positive, got {k}")
+    require("k", k, "1 or more", k >= 1)
+
+
+def _whole(value: Column) -> Column:
+    """``value`` if all instances have as many labels; else an error. Costs no pass: it compares
+    the smallest and the largest ``n_labels`` of rows that are added up anyway."""
+    uneven = F.coalesce(F.min("n_labels") != F.max("n_labels"), F.lit(False))
+    error = F.raise_error(F.lit("instances differ in their number of label rows"))
+    return F.when(uneven, error.cast("double")).otherwise(value)
 
 
 def _per_instance(scores: DataFrame, k: int) -> DataFrame:
@@ -81,20 +91,19 @@ def precision_at_k(scores: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Mean share of true labels among the first min(k, number of labels)."""
     _require_positive(k)
     share = F.col("hits") / F.least(F.lit(k), F.col("n_labels"))
-    return _per_instance(scores, k).agg(F.avg(share).alias("precision_at_k"))
+    return _per_instance(scores, k).agg(_whole(F.avg(share)).alias("precision_at_k"))
 
 
 def recall_at_k(scores: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Mean share of the true labels found among the first k; 1 where there is none."""
     _require_positive(k)
     share = F.when(F.col("n_true") > 0, F.col("hits") / F.col("n_true")).otherwise(1.0)
-    return _per_instance(scores, k).agg(F.avg(share).alias("recall_at_k"))
+    return _per_instance(scores, k).agg(_whole(F.avg(share)).alias("recall_at_k"))
 
 
 def ndcg_at_k(scores: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Mean discounted gain relative to the best order; 1 where there is no true label."""
-    if k < 0:
-        raise ValueError(f"k must not be negative, got {k}")
+    require("k", k, "0 or more", k >= 0)
     depth = F.least(F.col("n_true"), F.lit(k), F.col("n_labels")).cast("int")
     best = F.aggregate(
         F.sequence(F.lit(1), depth), F.lit(0.0), lambda total, at: total + 1.0 / F.log2(at + 1)
@@ -104,7 +113,7 @@ def ndcg_at_k(scores: DataFrame, k: int = DEFAULT_K) -> DataFrame:
         .when(depth > 0, F.col("dcg") / best)
         .otherwise(0.0)
     )
-    return _per_instance(scores, k).agg(F.avg(ndcg).alias("ndcg_at_k"))
+    return _per_instance(scores, k).agg(_whole(F.avg(ndcg)).alias("ndcg_at_k"))
 
 
 def evaluate(decisions: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -125,7 +134,7 @@ def evaluate(decisions: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     )
     wrong, both = F.sum("wrong"), F.sum("both")
     return rows.agg(
-        F.avg((F.col("wrong") == 0).cast("double")).alias("subset_accuracy"),
+        _whole(F.avg((F.col("wrong") == 0).cast("double"))).alias("subset_accuracy"),
         (wrong / F.sum("n_labels")).alias("hamming_loss"),
         F.when(2 * both + wrong > 0, 2 * both / (2 * both + wrong)).otherwise(0.0).alias("f1_micro"),
         F.avg(F.col("hits") / F.least(F.lit(k), F.col("n_labels"))).alias(f"precision_at_{k}"),

@@ -23,6 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelspark.checks import require
 from labelspark.operators.vectors import instance_vectors, representatives, vector_groups
 from labelspark.session import materialize, work_partitions
 
@@ -46,8 +47,7 @@ SLACK = 1e-8
 
 
 def check_k(k: int) -> None:
-    if k < 1:
-        raise ValueError(f"k must be at least 1, got {k}")
+    require("k", k, "1 or more", k >= 1)
 
 
 def _tiling(leads: DataFrame) -> DataFrame:

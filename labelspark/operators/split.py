@@ -7,6 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelspark.checks import require
+
 # Instances of one label set are spread over this many ordered buckets (hex digits of a
 # digest), so that no label set is ranked by a single task.
 BUCKET_DIGITS = 3
@@ -24,8 +26,7 @@ def stratified_split(
     seed changes the order of the instances. An instance without labels, null or empty, has
     the empty label set; one without an id has the empty digest.
     """
-    if not 0 < test_size < 1:
-        raise ValueError(f"test_size must be in (0, 1), got {test_size}")
+    require("test_size", test_size, "between 0 and 1, without both", 0 < test_size < 1)
     share = Fraction(test_size).limit_denominator(10_000)
     salt = "" if seed is None else f"{seed}:"
 

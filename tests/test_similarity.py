@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelspark.operators import neighbours, similarity, tfidf
+from labelspark.operators import dense, neighbours, similarity, tfidf
 from labelspark.session import materialize
 
 PROFILE = tfidf.TextProfile((1, 2), 300, sublinear_tf=True)
@@ -154,3 +154,24 @@ def test_few_tiles_are_visited(spark, monkeypatch):
     assert found.filter("instance_id div 8 <> neighbour_id div 8").count() == 0
     n_tiles = 16
     assert sum(visited) < 0.2 * len(texts) * n_tiles
+
+
+@pytest.mark.parametrize(("query_rows", "train_rows"), [(1024, 8192), (3, 7)])
+def test_dense_neighbours_equal_brute_force(spark, query_rows, train_rows, monkeypatch):
+    monkeypatch.setattr(dense, "QUERY_ROWS", query_rows)
+    monkeypatch.setattr(dense, "TRAIN_ROWS", train_rows)
+    pick = np.random.default_rng(3)
+    matrix = pick.normal(size=(60, 8)).round(2)
+    matrix[7], matrix[8], matrix[9] = matrix[3], matrix[3], 0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(matrix)]
+    train = spark.createDataFrame(rows + [(99, None)], "id long, vector array<double>")
+    found = dense.nearest_dense(train.filter("id % 5 = 0 OR id = 9"), train, 4).collect()
+    unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    distance = np.round(2 - 2 * unit @ unit.T, 9)
+    want = [
+        (q, j, rank + 1) for q in sorted({*range(0, 60, 5), 9})
+        for rank, j in enumerate(sorted(range(60), key=lambda j: (distance[q, j], j))[:4])
+    ]
+    assert sorted((r["query_id"], r["neighbour_id"], r["rank"]) for r in found) == sorted(
+        want, key=lambda w: (w[0], w[1])
+    )
