@@ -444,6 +444,20 @@ NEIGHBOUR_COLUMNS = "instance_id, neighbour_id, rank, round(distance2, 6) AS dis
 SQL["mlknn_neighbours"] = f"WITH {FITTED}, {NEAREST} SELECT {NEIGHBOUR_COLUMNS} FROM nearest"
 SQL["mlknn_train_neighbours"] = f"WITH {FITTED}, {OWN} SELECT {NEIGHBOUR_COLUMNS} FROM own"
 
+SQL["embedding_neighbours"] = """WITH unit AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+         sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size
+  FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, t.vec_id AS neighbour_id,
+         round(2 - 2 * CASE WHEN q.size > 0 AND t.size > 0
+                            THEN list_dot_product(q.v, t.v) / (q.size * t.size) ELSE 0 END, 9) AS distance2
+  FROM unit q CROSS JOIN unit t WHERE q.vec_id % 50 = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance2, neighbour_id) AS rank FROM pairs)
+SELECT query_id, neighbour_id, CAST(rank AS INTEGER) AS rank, round(distance2, 6) AS distance2
+FROM placed WHERE rank <= 10"""
+
 PRIORS = """train_label AS (
   SELECT DISTINCT instance_id, label_id FROM v_doc_label JOIN train USING (instance_id)),
 observed AS (SELECT DISTINCT label_id FROM v_doc_label),
@@ -491,6 +505,35 @@ SELECT instance_id,
        CAST(count(*) FILTER (score >= 0.1) AS INTEGER) AS n_labels
 FROM best WHERE rank <= 3 GROUP BY 1"""
 
+SQL["br_optimum"] = f"""WITH {FITTED}, {PRIORS}
+SELECT CAST(label_id AS BIGINT) AS label_id, 1 AS at_optimum FROM train_label
+GROUP BY 1 HAVING count(*) < (SELECT count(*) FROM train)"""
+SQL["br_stored_model"] = f"""WITH {FITTED}, {PRIORS}
+SELECT (SELECT count(*) FROM observed) AS n_labels, 'binary_relevance' AS model_type,
+       (SELECT count(*) FROM observed) * (SELECT count(*) FROM validation) AS n_scores,
+       (SELECT count(*) FROM validation) AS n_texts"""
+SQL["mlknn_figures"] = f"""WITH {FITTED}, {POSTERIOR}, judged AS (
+  SELECT p.instance_id, p.label_id, predicted, CASE WHEN l.label_id IS NULL THEN 0 ELSE 1 END AS y,
+         row_number() OVER (PARTITION BY p.instance_id ORDER BY score DESC, p.label_id) AS rank
+  FROM posterior p LEFT JOIN (SELECT DISTINCT instance_id, label_id FROM v_doc_label) l
+    ON l.instance_id = p.instance_id AND l.label_id = p.label_id),
+each AS (
+  SELECT instance_id, sum(CASE WHEN y <> predicted THEN 1 ELSE 0 END) AS wrong, count(*) AS n,
+         sum(y * predicted) AS n_both, sum(y) AS n_true, count(*) FILTER (rank <= 3 AND y = 1) AS hits
+  FROM judged GROUP BY 1),
+per_label AS (
+  SELECT label_id, sum(y * predicted) AS n_both, sum(CASE WHEN y <> predicted THEN 1 ELSE 0 END) AS wrong
+  FROM judged GROUP BY 1)
+SELECT round(avg(CASE WHEN wrong = 0 THEN 1.0 ELSE 0.0 END), 6) AS subset_accuracy,
+       round(sum(wrong) / CAST(sum(n) AS DOUBLE), 6) AS hamming_loss,
+       round(2 * sum(n_both) / CAST(2 * sum(n_both) + sum(wrong) AS DOUBLE), 6) AS f1_micro,
+       (SELECT round(avg(CASE WHEN 2 * n_both + wrong > 0
+                              THEN 2 * n_both / CAST(2 * n_both + wrong AS DOUBLE) ELSE 0.0 END), 6)
+        FROM per_label) AS f1_macro,
+       round(avg(hits / CAST(least(3, n) AS DOUBLE)), 6) AS precision_at_3,
+       round(avg(CASE WHEN n_true > 0 THEN hits / CAST(n_true AS DOUBLE) ELSE 1.0 END), 6) AS recall_at_3
+FROM each"""
+
 # Evaluation
 
 DECIDED = f"""{SCORE}, decided AS (

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.operators import (
-    association, binary_relevance, cleaning, contracts, labelsets, metrics, mlknn, neighbours,
-    ranking, similarity, split, textprofile, tfidf, traffic,
+    association, binary_relevance, cleaning, contracts, dense, labelsets, metrics, mlknn,
+    neighbours, ranking, similarity, split, textprofile, tfidf, traffic,
 )
 from labelspark.plans import inputs, prediction, profile, training
 from labelspark.session import materialize, new_path
@@ -374,6 +374,53 @@ def br_scores(spark, sf_dir):
     )
 
 
+# Largest slope of the penalised loss that counts as the optimum; the solver stops on relative
+# changes of the loss, so it ends near the optimum, not on it.
+GRADIENT_BOUND = 0.05
+
+
+@query
+def br_optimum(spark, sf_dir):
+    """Per label with two classes: whether the fit is at the optimum of its penalised loss."""
+    prepared = _prepared(spark, sf_dir)
+    model = training.train_binary_relevance(prepared)
+    slopes = binary_relevance.gradients(
+        prepared.train, prepared.train_weights, model.tables["label_models"],
+        model.tables["coefficients"],
+    )
+    return slopes.select(
+        "label_id", (F.col("largest") <= GRADIENT_BOUND).cast("int").alias("at_optimum")
+    )
+
+
+@query
+def mlknn_figures(spark, sf_dir):
+    """The six figures of a trained ML-kNN on the validation rows."""
+    prepared = _prepared(spark, sf_dir)
+    priors, conditionals = _conditionals(prepared)
+    near = materialize(_neighbours(prepared, of_train=False), "neighbours")
+    scored = mlknn.posterior(
+        prepared.validation.select("instance_id"), near, prepared.train, priors,
+        materialize(conditionals, "conditionals"),
+    )
+    truth = training.with_truth(materialize(scored, "scores"), prepared.validation)
+    return rounded(metrics.evaluate(truth), *training.METRIC_ORDER)
+
+
+@query
+def br_stored_model(spark, sf_dir):
+    """A stored and reloaded binary-relevance model: its facts and the size of its answers."""
+    prepared = _prepared(spark, sf_dir)
+    path = new_path(spark, "model")
+    artifacts.save(training.train_binary_relevance(prepared), path)
+    model = artifacts.load(spark, path)
+    answers = prediction.score_texts(model, prepared.validation)
+    return prediction.model_facts(model).withColumns({
+        "n_scores": answers.agg(F.count(F.lit(1)).alias("n")).scalar(),
+        "n_texts": prepared.validation.agg(F.count(F.lit(1)).alias("n")).scalar(),
+    })
+
+
 @query
 def hard_decision(spark, sf_dir):
     return metrics.decide(inputs.scores(spark, sf_dir)).select(
@@ -407,6 +454,16 @@ def mlknn_train_neighbours(spark, sf_dir):
     return rounded(_neighbours(_prepared(spark, sf_dir), of_train=True), "distance2")
 
 
+@query
+def embedding_neighbours(spark, sf_dir):
+    """Neighbours of every fiftieth dense vector among all of them."""
+    rows = inputs.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
+    )
+    found = dense.nearest_dense(rows.filter("id % 50 = 0"), rows, training.N_NEIGHBOURS)
+    return rounded(found, "distance2")
+
+
 @query
 def mlknn_priors(spark, sf_dir):
     prepared = _prepared(spark, sf_dir)
