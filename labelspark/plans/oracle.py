@@ -379,6 +379,53 @@ listed AS (
 SQL["profile_warnings"] = f"""WITH {WARNING_FIGURES}
 SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, warning FROM listed"""
 
+DOC_DISTRIBUTION = _distribution(f"{GENRES}, {DOC_LABEL}", "v_doc_label", "v_genres")
+DOC_SIZES = f"{DOC_LABEL}, sizes AS (SELECT instance_id, count(*) AS n FROM v_doc_label GROUP BY 1)"
+
+
+def _figures(query: str, *names: str) -> str:
+    """One row of SQL as rows of the report."""
+    return " UNION ALL ".join(
+        f"SELECT 'figure' AS section, 0 AS position, '{n}' AS name, "
+        f"round(CAST({n} AS DOUBLE), 6) AS value FROM ({query})"
+        for n in names
+    )
+
+
+SQL["profile_report_rows"] = " UNION ALL ".join([
+    _figures(SQL["table_counts"], "n_instances", "n_labels"),
+    _figures(SQL["text_length_stats"], "avg_chars", "median_chars", "p95_chars"),
+    _figures(
+        f"WITH {DOC_SIZES} SELECT avg(n) AS label_density, max(n) AS max_labels_per_instance, "
+        "count(*) FILTER (n > 7) AS over_labelled FROM sizes",
+        "label_density", "max_labels_per_instance", "over_labelled",
+    ),
+    _figures(
+        f"WITH {WARNING_FIGURES} SELECT head_ratio, tail_labels, duplicates, short_texts, "
+        "near_pairs AS near_duplicate_pairs, cardinality AS label_cardinality FROM figures",
+        "head_ratio", "tail_labels", "duplicates", "short_texts", "near_duplicate_pairs",
+        "label_cardinality",
+    ),
+    _figures(SQL["label_gini"].replace(DISTRIBUTION, DOC_DISTRIBUTION), "gini"),
+    f"""SELECT 'label' AS section, CAST(position AS INTEGER) AS position, name,
+       CAST("count" AS DOUBLE) AS value FROM (WITH {DOC_DISTRIBUTION} SELECT * FROM distribution)""",
+    f"""SELECT 'support', CAST(position AS INTEGER), name, round(support, 6)
+FROM (WITH {DOC_DISTRIBUTION} SELECT * FROM distribution)""",
+    f"""SELECT 'co_occurrence', CAST(row_number() OVER (ORDER BY n DESC, a, b) AS INTEGER),
+       name_a || '/' || name_b, CAST(n AS DOUBLE) FROM (
+  WITH {GENRES}, {DOC_LABEL} SELECT x.label_id AS a, y.label_id AS b, p.name AS name_a,
+       q.name AS name_b, count(*) AS n
+  FROM v_doc_label x JOIN v_doc_label y ON x.instance_id = y.instance_id AND x.label_id < y.label_id
+  JOIN v_genres p ON p.id = x.label_id JOIN v_genres q ON q.id = y.label_id
+  GROUP BY ALL ORDER BY n DESC, a, b LIMIT 10)""",
+    f"""SELECT 'mutual_info', CAST(row_number() OVER (ORDER BY r12 DESC, a, b) AS INTEGER),
+       name_a || '/' || name_b, round(nmi, 6) FROM (
+  WITH {DOC_TABLES} SELECT a, b, name_a, name_b, nmi, round(nmi_scores.nmi, 12) AS r12
+  FROM nmi_scores ORDER BY r12 DESC, a, b LIMIT 10)""",
+    f"""SELECT 'warning', CAST(position AS INTEGER) + 1, warning, CAST(length(warning) AS DOUBLE)
+FROM ({SQL["profile_warnings"]})""",
+])
+
 SQL["label_count_histogram"] = f"""WITH {BASKET_SIZES}
 SELECT n AS n_labels, count(*) AS n_instances FROM sizes GROUP BY 1"""
 SQL["cooccurrence_matrix"] = f"""WITH {DISTRIBUTION},
