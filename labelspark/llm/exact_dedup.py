@@ -66,7 +66,9 @@ def block_names(found: DataFrame) -> DataFrame:
         groups.select("block", F.struct("first.row", "first.pos").alias("at"))
         .groupBy("block").agg(F.collect_list("at").alias("places"))
         .sortWithinPartitions("block")
-        .select(F.monotonically_increasing_id().alias("name"), F.explode("places").alias("at"))
+        # Numbered before the places are listed: all places of a block get its one name.
+        .withColumn("name", F.monotonically_increasing_id())
+        .select("name", F.explode("places").alias("at"))
     )
     return (
         groups.select(F.struct("first.row", "first.pos").alias("at"), "owners")
