@@ -101,8 +101,9 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) ->
     left = _entries(distinct, 0).select("key", F.col("fp").alias("a"))
     right = _entries(distinct, 1).select(F.col("key").alias("key_b"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
+    # Entries are many times the table they are made from: never broadcast them by its size.
     return left.join(
-        right, (F.col("key") == F.col("key_b")) & near & (F.col("a") != F.col("b"))
+        right.hint("merge"), (F.col("key") == F.col("key_b")) & near & (F.col("a") != F.col("b"))
     ).select("a", "b")
 
 
