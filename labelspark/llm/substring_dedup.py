@@ -5,8 +5,9 @@ a repeated passage often stands inside a line of its own document, where whole l
 never be equal. A unit is ``UNIT_WORDS`` consecutive words that begin at the start of a line,
 end at its end, or begin at an anchor. Anchors depend on the words around them only (the
 smallest hash of ``GRAM`` words in any ``WINDOW`` of positions), so copies of a passage have the
-same anchors; a shared passage of WINDOW + GRAM + UNIT_WORDS - 2 words, with these values 46,
-holds at least one whole unit.
+same anchors; a shared passage of WINDOW + GRAM + UNIT_WORDS - 2 words, with these values 34,
+holds at least one whole unit. At either end of a passage inside a line up to WINDOW + GRAM - 2
+words may stay, since the first and last anchors depend on the words beside the passage.
 
 Unit digests (128 bits) are grouped over all documents; the earliest occurrence, by doc_id and
 position, stays and units that repeat it in other documents are removed with their places in
@@ -37,7 +38,7 @@ from labelspark.llm.common import Memo, buffers, pieces, slices
 from labelspark.session import materialize
 
 UNIT_WORDS = 20
-WINDOW = 24
+WINDOW = 12
 GRAM = 4
 # Odd multipliers of the rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -213,8 +214,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     lost = materialize(removals(docs), "removals").select(
         F.col("doc_id").alias("_doc_id"), F.col("spans").alias("_spans")
     )
+    # Spans grow with the corpus: they are not for a broadcast at any size.
     joined = docs.join(
-        lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")), "left"
+        lost.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")), "left"
     ).drop("_doc_id")
     place = joined.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema)
