@@ -8,7 +8,8 @@ SCHEMA = "page_id long, url string, html string"
 
 
 def texts(page):
-    return [t for t, _, _ in html.page_blocks(page)[0]]
+    blocks, _ = html.page_blocks(page)
+    return [t for t, _, _ in blocks]
 
 
 @pytest.mark.parametrize(

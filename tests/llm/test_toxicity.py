@@ -85,6 +85,13 @@ def test_without_labels_of_both_kinds(spark):
     assert toxicity.toxicity(table(spark, []), model).count() == 0
 
 
+def test_labels_without_telling_features(spark):
+    docs = table(spark, [(i, words(50, i)) for i in range(6)])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, toxicity.train(docs, marks)).collect()
+    assert len(got) == 6 and all(0.3 < r.score < 0.7 and not r.predicted for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
