@@ -6,15 +6,16 @@ naive Bayes log-count ratio, the logarithm of how much more often it occurs in t
 a logistic regression, both labels weighing the same, is fitted on the scaled features.
 
 The fit uses at most ``MAX_ROWS`` labelled rows, those with the smallest hash of doc_id; that
-bound also bounds what is sent to the driver and the list of ids that is broadcast to the scan.
-The model is one weight per feature, a fixed 4 MB. Scoring reads every whole text once and
+bound also bounds the list of ids that is broadcast to the scan and what is sent to the driver:
+for each of these rows the numbers of its telling features (in enough texts, and clearly more
+usual with one label), found by a count in Spark before. The model is one weight per feature, a fixed 4 MB. Scoring reads every whole text once and
 shuffles nothing.
 
 Only the text enters a score. Rows whose crc32(doc_id as text) mod 3 is 1 are held out of the
 fit. Defined cases: null text is empty; an empty text is scored by the intercept; a null doc_id
 is not held out (crc32 of null is null) and never has a label; several labels of one document
-count as its largest; without labels of both kinds all scores are the share of toxic labels
-(0 without any label); an empty table gives an empty result; other columns are ignored.
+count as its largest; without labels of both kinds all scores are 1 if there are toxic labels
+and else 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import slices
+from labelspark.session import materialize
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -35,6 +37,8 @@ THRESHOLD = 0.7
 SMOOTHING = 1.0
 PENALTY = 1e-2
 STEPS = 80
+# Tasks that go through the labelled texts; each counts all features for itself.
+FIT_TASKS = 4
 # A feature in fewer labelled texts says nothing.
 MIN_TEXTS = 5
 # A feature as usual in toxic texts as in others (within this factor, as a logarithm) neither.
@@ -89,44 +93,32 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
 
-def fit(found: list[np.ndarray], toxic: np.ndarray, bits: int = BITS) -> Model:
-    """Log-count ratios, then logistic regression by accelerated gradient steps."""
-    share = float(toxic.mean()) if len(toxic) else 0.0
-    if not 0 < share < 1:
-        margin = -500.0 if share == 0 else 500.0
-        return Model(margin, np.zeros(1 << bits))
-    sizes = np.array([len(f) for f in found])
-    flat = np.concatenate(found).astype(np.int32)
-    row = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+def fit(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray]:
+    """(intercept, weights): logistic regression by accelerated gradient steps.
+
+    ``rows`` hold the numbers of the features present, ``scale`` the value of each feature.
+    Both labels weigh the same in total, however rare one is.
+    """
+    share = float(toxic.mean())
     label = toxic.astype(np.float64)
-    yes = np.bincount(flat[toxic[row] == 1], minlength=1 << bits)
-    no = np.bincount(flat[toxic[row] == 0], minlength=1 << bits)
-    n_yes, n_no = toxic.sum() + 2 * SMOOTHING, (1 - toxic).sum() + 2 * SMOOTHING
-    ratio = np.log((yes + SMOOTHING) / n_yes) - np.log((no + SMOOTHING) / n_no)
-    ratio[(yes + no < MIN_TEXTS) | (np.abs(ratio) < MIN_RATIO)] = 0.0
-    kept = ratio[flat] != 0.0
-    use, column = np.unique(flat[kept], return_inverse=True)
-    row, scaled = row[kept], ratio[use]
-    # Both labels weigh the same in total, however rare one is.
     weight = np.where(toxic == 1, 0.5 / share, 0.5 / (1 - share))
-
-    norms = np.bincount(row, (scaled**2)[column], len(found))
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.concatenate(rows)
+    norms = np.bincount(row, (scale**2)[column], len(rows))
     step = 1.0 / (0.25 * (float(np.mean(weight * norms)) + 1.0) + PENALTY)
-    w, intercept = np.zeros(len(use)), 0.0
+    w, intercept = np.zeros(len(scale)), 0.0
     ahead, ahead_0, momentum = w.copy(), intercept, 1.0
     for _ in range(STEPS):
-        margin = np.bincount(row, (ahead * scaled)[column], len(found)) + ahead_0
+        margin = np.bincount(row, (ahead * scale)[column], len(rows)) + ahead_0
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - label)
-        slope = np.bincount(column, error[row], len(use)) * scaled / len(label)
+        slope = np.bincount(column, error[row], len(scale)) * scale / len(label)
         new = ahead - step * (slope + PENALTY * ahead)
         new_0 = ahead_0 - step * float(error.mean())
         following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         ahead = new + (momentum - 1) / following * (new - w)
         ahead_0 = new_0 + (momentum - 1) / following * (new_0 - intercept)
         w, intercept, momentum = new, new_0, following
-    weights = np.zeros(1 << bits)
-    weights[use] = w * scaled
-    return Model(intercept, weights)
+    return intercept, w * scale
 
 
 def held_out(doc_id: Column) -> Column:
@@ -145,29 +137,74 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         .groupBy("_id").agg(F.max("toxic").alias("_toxic"))
         .orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(
-        F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")
+    sample = materialize(
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id"))
+        .select("_id", F.col("_toxic").cast("int").alias("toxic"), "text"),
+        "toxicity-sample",
     )
+    n_yes, n_no = (
+        sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    )
+    if not n_yes or not n_no:
+        return Model(500.0 if n_yes else -500.0, np.zeros(1 << BITS))
+    chosen_features = log_count_ratios(sample, n_yes, n_no).toArrow().sort_by("feature")
+    use = chosen_features["feature"].to_numpy()
+    scale = chosen_features["ratio"].to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]):
         features = Features()
+        place = np.full(1 << BITS, -1, np.int32)
+        place[use] = np.arange(len(use))
         for batch in slices(batches):
-            found = [
-                features.of(t or "").astype("<i4").tobytes()
-                for t in batch.column("text").to_pylist()
-            ]
+            found = []
+            for text in batch.column("text").to_pylist():
+                own = place[features.of(text or "")]
+                found.append(np.sort(own[own >= 0]).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_toxic").cast(pa.int32()), pa.array(found, pa.binary())],
+                [batch.column("_id"), batch.column("toxic"), pa.array(found, pa.binary())],
                 names=["id", "toxic", "features"],
             )
 
-    sample = (
-        rows.select("_id", "_toxic", "text")
+    rows = (
+        sample.coalesce(FIT_TASKS)
         .mapInArrow(run, "id long, toxic int, features binary")
-        .toArrow().sort_by([("id", "ascending")])
+        .toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
+    )
+    found = [np.frombuffer(f, np.int32) for f in rows["features"].to_pylist()]
+    intercept, own = fit(found, (rows["toxic"].to_numpy() > 0).astype(np.int64), scale)
+    weights = np.zeros(1 << BITS)
+    weights[use] = own
+    return Model(intercept, weights)
+
+
+def log_count_ratios(sample: DataFrame, n_yes: int, n_no: int) -> DataFrame:
+    """(feature, ratio) of the features that say something, from texts with (toxic, text).
+
+    At most one row per feature, whatever the sample; tasks count for themselves first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        features, counts = Features(), np.zeros((2, 1 << BITS), np.int64)
+        for batch in slices(batches):
+            toxic = batch.column("toxic").to_pylist()
+            for text, label in zip(batch.column("text").to_pylist(), toxic):
+                counts[int(label > 0), features.of(text or "")] += 1
+        seen = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen), pa.array(counts[1, seen]), pa.array(counts[0, seen])],
+            names=["feature", "yes", "no"],
+        )
+
+    smooth = lambda count, n: F.log((count + SMOOTHING) / (n + 2 * SMOOTHING))
+    return (
+        sample.select("toxic", "text").coalesce(FIT_TASKS)
+        .mapInArrow(run, "feature long, yes long, no long")
+        .groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        .filter(F.col("yes") + F.col("no") >= MIN_TEXTS)
+        .select("feature", (smooth(F.col("yes"), n_yes) - smooth(F.col("no"), n_no)).alias("ratio"))
+        .filter(F.abs("ratio") >= MIN_RATIO)
     )
-    found = [np.frombuffer(f, "<i4") for f in sample["features"].to_pylist()]
-    return fit(found, np.array(sample["toxic"].to_pylist(), np.int64))
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
