@@ -112,6 +112,8 @@ def _with_losses(docs: DataFrame, min_chars: int, min_documents: int) -> DataFra
     keys = materialize(line_keys(own, min_chars).distinct(), "line-keys")
     shared = materialize(shared_keys(keys, min_documents), "shared-lines")
     lost = materialize(losses(keys, shared), "lost-lines")
+    # Lists of what is lost grow with the corpus: they are not for a broadcast at any size.
+    lost = lost.hint("merge")
     return own.join(lost, own["doc_id"].eqNullSafe(lost["doc_id"]), "left").select(
         own["doc_id"], "text", "lost"
     )
