@@ -28,7 +28,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import slices
@@ -237,9 +237,9 @@ def _main(blocks: list[tuple[_Element, str]], elements: list[_Element]) -> _Elem
     return None
 
 
-def page_blocks(html: str) -> tuple[list[tuple[str, list[int], list[int]]], list[int], int]:
-    """(blocks: text, hashes of elements around it inside and outside article or main; hashes
-    of all subtrees with text; hash of what the page says)."""
+def page_blocks(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
+    """(blocks: text, hashes of the subtrees around it inside and outside article or main; hash
+    of what the page says). Subtrees that are barred anyway need no hash."""
     blocks, elements = parse(html)
     whole = xxhash.xxh64()
     numbers = {id(e): e.digest.intdigest() - (1 << 63) for e in elements if e.size}
@@ -258,17 +258,17 @@ def page_blocks(html: str) -> tuple[list[tuple[str, list[int], list[int]]], list
         outer = [numbers[id(e)] for e in own if not e.inside]
         kept.append((text, inner, outer))
         whole.update(text.encode("utf-8", "surrogatepass") + b"\n")
-    return kept, sorted(set(numbers.values())), whole.intdigest() - (1 << 63)
+    return kept, whole.intdigest() - (1 << 63)
 
 
 PARSED = (
-    "page_id long, url string, content long, hashes array<long>, "
+    "page_id long, url string, content long, "
     "blocks array<struct<text string, inner array<long>, outer array<long>>>"
 )
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, content, hashes, blocks) of every page."""
+    """(page_id, url, host, content, blocks) of every page."""
     block = pa.struct(
         [("text", pa.string()), ("inner", pa.list_(pa.int64())), ("outer", pa.list_(pa.int64()))]
     )
@@ -277,17 +277,16 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             found = [page_blocks(h or "") for h in batch.column("html").to_pylist()]
             rows = [
-                [{"text": t, "inner": i, "outer": o} for t, i, o in kept] for kept, _, _ in found
+                [{"text": t, "inner": i, "outer": o} for t, i, o in kept] for kept, _ in found
             ]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id").cast(pa.int64()),
                     batch.column("url").cast(pa.string()),
-                    pa.array([c for _, _, c in found], pa.int64()),
-                    pa.array([h for _, h, _ in found], pa.list_(pa.int64())),
+                    pa.array([c for _, c in found], pa.int64()),
                     pa.array(rows, pa.list_(block)),
                 ],
-                names=["page_id", "url", "content", "hashes", "blocks"],
+                names=["page_id", "url", "content", "blocks"],
             )
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*//([^/?#:]*)", 1))
@@ -296,12 +295,18 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def _around(side: str) -> Column:
+    """Distinct hashes of the subtrees around a page's blocks, on one side of article."""
+    return F.array_distinct(F.flatten(F.transform("blocks", lambda b: b[side])))
+
+
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash, share): subtrees on at least ``min_pages`` different pages of a host."""
     contents = parsed.select("host", "content").distinct()
     hosts = contents.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    subtrees = F.array_union(_around("inner"), _around("outer"))
     return (
-        parsed.select("host", "content", F.explode("hashes").alias("hash")).distinct()
+        parsed.select("host", "content", F.explode(subtrees).alias("hash")).distinct()
         .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_pages)
         .join(hosts, "host")
@@ -317,12 +322,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         parsed_pages(pages).withColumn("row", F.monotonically_increasing_id()), "parsed-pages"
     )
     site = materialize(templates(parsed, min_pages), "site-templates")
-    around = lambda side: F.flatten(F.transform("blocks", lambda b: b[side]))
     asked = parsed.select("row", "host", F.explode(
         F.concat(
-            F.transform(F.array_distinct(around("inner")),
+            F.transform(_around("inner"),
                         lambda h: F.struct(h.alias("hash"), F.lit(MIN_SHARE_INSIDE).alias("least"))),
-            F.transform(F.array_distinct(around("outer")),
+            F.transform(_around("outer"),
                         lambda h: F.struct(h.alias("hash"), F.lit(MIN_SHARE).alias("least"))),
         )
     ).alias("a")).select("row", "host", "a.hash", "a.least")
