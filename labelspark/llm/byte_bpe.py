@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with vectorised pre-tokenisation.
 
-Boundaries come from arrays of code-point classes, without a regular expression. Seen as an
-automaton, almost every character's transition function is constant: its class settles the
-state whatever came before. The others (a second apostrophe, a letter behind a letter) leave
-the state as it is. Such functions compose associatively, and a composition is its last
-constant one, so a running maximum over positions scans them for a whole slice of texts.
+Boundaries come from arrays of code-point classes, without a regular expression. The automaton's
+state is the place where the present run of characters was opened. A character's transition
+function is either constant (it opens a run, whatever came before) or the identity (it continues
+one). Such functions compose associatively, and a composition is its last constant one, so a
+running maximum over positions scans them for a whole slice of texts. What is left, white space
+before a word and letters behind an apostrophe, is settled by the classes beside it.
 
 Slices between boundaries are numbered by Arrow's dictionary encoding; each distinct slice is
 merged once and kept in a bounded memo. Ids, decimals and decoded bytes of all tokens are then
@@ -81,10 +82,15 @@ def boundaries(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     white = (kind == BLANK) | (kind == SPACE)
     white_before = (before == BLANK) | (before == SPACE)
     white_after = (after == BLANK) | (after == SPACE)
+    # The state is the place where the present run was opened. A character that continues a run
+    # leaves it as it is, any other sets it to its own place.
+    opens = np.where(white, ~white_before, kind != before)
+    opened = last_constant(opens)
+    at_open = opened == np.arange(n)
     # A run of white space gives its last character away, unless the text ends there.
-    white_start = white & (~white_before | (~white_after & (after != NONE)))
-    # Other runs start where the class changes; a blank before belongs to the run.
-    word_start = ~white & (kind != before) & (before != BLANK)
+    white_start = white & (at_open | (~white_after & (after != NONE)))
+    # A blank before another run belongs to that run.
+    word_start = ~white & at_open & (before != BLANK)
     start = white_start | word_start
 
     # An apostrophe that opens its token may take letters with it.

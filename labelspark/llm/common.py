@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Texts are handled in runs of about this many bytes, so that a task's memory follows this
 # number (or its one longest text), not the size of an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ class Memo:
     saves work: beyond ``limit`` keys it starts anew and what is asked for is computed again.
     """
 
-    def __init__(self, compute, columns: int, limit: int = 1_500_000):
+    def __init__(self, compute, columns: int, limit: int = 800_000):
         self.compute, self.limit = compute, limit
         self.empty = pa.array([], pa.large_binary())
         self.keys, self.values = self.empty, [self.empty] * columns
