@@ -1,25 +1,28 @@
 """Removal of passages that occur in several documents.
 
-Units are lines, normalised to lower-cased words, and long lines are hashed passage by passage:
-a repeated passage often stands inside a line of its own document, where whole lines would
-never be equal. A unit is ``UNIT_WORDS`` consecutive words that begin at the start of a line,
-end at its end, or begin at an anchor. Anchors depend on the words around them only (the
-smallest hash of ``GRAM`` words in any ``WINDOW`` of positions), so copies of a passage have the
-same anchors; a shared passage of WINDOW + GRAM + UNIT_WORDS - 2 words, with these values 34,
-holds at least one whole unit. At either end of a passage inside a line up to WINDOW + GRAM - 2
-words may stay, since the first and last anchors depend on the words beside the passage.
+A text is its sequence of lower-cased words, whatever white space or line breaks stand between
+them, and is hashed passage by passage: a repeated passage seldom begins where its text or line
+does. A unit is ``UNIT_WORDS`` consecutive words that begin at the start of a text, end at its
+end, or begin at an anchor. Anchors depend on the words around them only (the smallest hash of
+``GRAM`` words in any ``WINDOW`` of positions), so copies of a passage have the same anchors; a
+shared passage of WINDOW + GRAM + UNIT_WORDS - 2 words, with these values 34, holds at least one
+whole unit.
 
 Unit digests (128 bits) are grouped over all documents; the earliest occurrence, by doc_id and
 position, stays and units that repeat it in other documents are removed with their places in
-the original text. Repeats inside one document are left. Lines of fewer than ``UNIT_WORDS``
-words are left too: they are what dedup of lines is for.
+the original text. The first and last anchors inside a passage lie up to ``REACH`` words from its
+ends, so what is removed grows by as many words as also stand beside the unit in the document
+that keeps it (where it first has the unit; 32 bits of each word's hash are compared). Repeats
+inside one document are left.
 
 Skew: digests are counted with partial sums. Only repeated ones are written and joined back to
-the units, where adaptive execution splits a hot digest.
+the units, where adaptive execution splits a hot digest. Surroundings are read only of what
+the keeping documents have, and of the ends of what the others lose.
 
 Defined cases: null text is empty (null stays null in the result's text); rows with the same
-doc_id count as one document; a null doc_id counts as the smallest; an empty table gives an
-empty result; other columns of the input are ignored, or kept by ``cleaned``.
+doc_id count as one document, so what only they share stays, and each row is cut at its own
+places; a null doc_id counts as the smallest; an empty table gives an empty result; other
+columns of the input are ignored, or kept by ``cleaned``.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +44,16 @@ from labelspark.session import materialize
 UNIT_WORDS = 20
 WINDOW = 12
 GRAM = 4
+# Words between a passage's end and the nearest unit, at most.
+REACH = WINDOW + GRAM - 2
 # Odd multipliers of the rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 WHITE = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
 
-SPAN = "start int, end int, keep_id bigint, digest binary"
+BLANKS = frozenset(b"\t\n\x0b\x0c\r ")
+
+SPAN = "start int, end int, keep_id bigint"
 
 
 def _word_hashes(words: list[bytes]) -> list[tuple[bytes]]:
@@ -61,9 +69,10 @@ def _rolling(hashes: np.ndarray, size: int, factor: int) -> np.ndarray:
 
 
 class Units:
-    """Finds units; keeps a memo of word hashes."""
+    """Finds units, across line breaks or inside lines; keeps a memo of word hashes."""
 
-    def __init__(self):
+    def __init__(self, across: bool = False):
+        self.across = across
         self.memo = Memo(_word_hashes, 1)
 
     def find(self, column: pa.Array):
@@ -101,8 +110,9 @@ class Units:
         )
         hashes = np.frombuffer(found, np.uint64).reshape(-1, 2)
 
-        breaks = np.cumsum(data == 0x0A)
-        line = breaks[starts] + text_of  # texts are lines apart
+        line = text_of  # texts are lines apart
+        if not self.across:
+            line = text_of + np.cumsum(data == 0x0A)[starts]
         new_line = np.append(True, (line[1:] != line[:-1]) | (text_of[1:] != text_of[:-1]))
         first = np.flatnonzero(new_line)
         size = np.diff(np.append(first, n))
@@ -128,29 +138,36 @@ class Units:
         return (text_of[at], starts[at] - base, ends[at + UNIT_WORDS - 1] - base, digest), words
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, digest): byte places of units, digests of 16 bytes."""
+def _units(rows: DataFrame, across: bool) -> DataFrame:
+    """(row, doc_id, start, end, digest): byte places of units, digests of 16 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = Units()
+        own = Units(across)
         for batch in slices(batches):
             (text, start, end, digest), _ = own.find(batch.column("text"))
-            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(text, pa.int64()))
+            at = pa.array(text, pa.int64())
             flat = np.ascontiguousarray(digest).tobytes()
             places = np.arange(len(text) + 1, dtype=np.int32) * 16
             keys = pa.BinaryArray.from_buffers(
                 pa.binary(), len(text), [None, pa.py_buffer(places), pa.py_buffer(flat)]
             )
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(start, pa.int32()), pa.array(end, pa.int32()), keys],
-                names=["doc_id", "start", "end", "digest"],
-            )
+                [batch.column("row").take(at), batch.column("doc_id").take(at),
+                 pa.array(start, pa.int32()), pa.array(end, pa.int32()), keys],
+                names=["row", "doc_id", "start", "end", "digest"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, start int, end int, digest binary"
+    return rows.select("row", "doc_id", "text").mapInArrow(
+        run, "row long, doc_id long, start int, end int, digest binary"
     )
 
 
+def units(docs: DataFrame, across: bool = False) -> DataFrame:
+    """(doc_id, start, end, digest): units inside lines, or ``across`` line breaks."""
+    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
+    return _units(rows, across).drop("row")
+
+
 def repeated(found: DataFrame) -> DataFrame:
     """(digest, keep_id): units of several documents and the document that keeps them."""
     return (
@@ -163,19 +180,167 @@ def repeated(found: DataFrame) -> DataFrame:
     )
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): what each document loses; byte places in its original text."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = materialize(repeated(units(own).select("doc_id", "digest")), "repeated-units")
+def _before(text: bytes, at: int, limit: int) -> list[tuple[int, int]]:
+    """Places of up to ``limit`` words that end before ``at``, the nearest first."""
+    out = []
+    while len(out) < limit:
+        while at > 0 and text[at - 1] in BLANKS:
+            at -= 1
+        if at == 0:
+            break
+        end = at
+        while at > 0 and text[at - 1] not in BLANKS:
+            at -= 1
+        out.append((at, end))
+    return out
+
+
+def _after(text: bytes, at: int, limit: int) -> list[tuple[int, int]]:
+    """Places of up to ``limit`` words that begin at ``at`` or later, the nearest first."""
+    out, size = [], len(text)
+    while len(out) < limit:
+        while at < size and text[at] in BLANKS:
+            at += 1
+        if at == size:
+            break
+        start = at
+        while at < size and text[at] not in BLANKS:
+            at += 1
+        out.append((start, at))
+    return out
+
+
+def _hashed(text: bytes, places: list[tuple[int, int]]) -> bytes:
+    """Four bytes for each word."""
+    return b"".join(xxhash.xxh32_digest(text[a:b].lower()) for a, b in places)
+
+
+def _surroundings(text: bytes, hits: list[dict]) -> Iterator[tuple]:
+    """(digest, start, left, right) of the units that a row keeps, with start -1, and of those
+    near the ends of what it loses, where only the sides that may grow are given."""
+    runs: list[list[dict]] = []
+    reached = -1
+    for hit in hits:
+        if hit["stays"]:
+            yield (
+                hit["digest"], -1, _hashed(text, _before(text, hit["start"], REACH)),
+                _hashed(text, _after(text, hit["end"], REACH)),
+            )
+        elif runs and hit["start"] <= reached + 1:
+            runs[-1].append(hit)
+            reached = max(reached, hit["end"])
+        else:
+            runs.append([hit])
+            reached = hit["end"]
+    for run in runs:
+        low, high = run[0]["start"], max(h["end"] for h in run)
+        first = _after(text, low, REACH)[-1][1]
+        last = _before(text, high, REACH)[-1][0]
+        for hit in run:
+            left = _before(text, hit["start"], REACH) if hit["start"] < first else []
+            right = _after(text, hit["end"], REACH) if hit["end"] > last else []
+            if left or right:
+                yield hit["digest"], hit["start"], _hashed(text, left), _hashed(text, right)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many words are equal from the start."""
+    n = 0
+    while a[n : n + 4] and a[n : n + 4] == b[n : n + 4]:
+        n += 4
+    return n // 4
+
+
+def _grown(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """(row, start, before, after): by how many words removed units grow at either side."""
+    keeper = hits.filter("stays").groupBy("digest").agg(
+        F.min(F.struct("row", "start")).alias("at")
+    ).select("digest", F.col("at.row").alias("row"), F.col("at.start").alias("start"))
+    end = F.struct("start", "end", "digest", "stays")
+    firsts = keeper.join(
+        hits.filter("stays").select("digest", "row", "start", "end", "stays"),
+        ["digest", "row", "start"],
+    )
+    asked = (
+        hits.filter("NOT stays").select("row", end.alias("h"))
+        .unionByName(firsts.select("row", end.alias("h")))
+        .groupBy("row").agg(F.array_sort(F.collect_list("h")).alias("hits"))
+    )
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches):
+            texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
+            rows_, found = batch.column("row").to_pylist(), []
+            for row, text, own in zip(rows_, texts, batch.column("hits").to_pylist()):
+                found += [(row, *f) for f in _surroundings(text, own)]
+            columns = list(zip(*found)) or [[]] * 5
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds)],
+                names=["row", "digest", "start", "left", "right"],
+            )
+
+    around = materialize(
+        rows.select("row", "text").join(asked.hint("merge"), "row").mapInArrow(
+            read, "row long, digest binary, start int, left binary, right binary"
+        ),
+        "surroundings",
+    )
+    kept = around.filter("start < 0").select(
+        "digest", F.col("left").alias("keep_left"), F.col("right").alias("keep_right")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            own = {n: batch.column(n).to_pylist() for n in ("left", "right", "keep_left", "keep_right")}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("start"),
+                 pa.array([_common(*p) for p in zip(own["left"], own["keep_left"])], pa.int32()),
+                 pa.array([_common(*p) for p in zip(own["right"], own["keep_right"])], pa.int32())],
+                names=["row", "start", "before", "after"],
+            )
+
     return (
-        units(own).join(known, "digest")
-        .filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end", "keep_id", "digest")))
+        around.filter("start >= 0").join(kept.hint("merge"), "digest")
+        .mapInArrow(compare, "row long, start int, before int, after int")
+        .filter("before + after > 0")
+    )
+
+
+def removals(rows: DataFrame) -> DataFrame:
+    """(row, spans): what each row (row, doc_id, text) loses; byte places in its original text,
+    and by how many words these grow."""
+    known = materialize(repeated(_units(rows, True).select("doc_id", "digest")), "repeated-units")
+    hits = materialize(
+        _units(rows, True).join(known.hint("merge"), "digest").select(
+            "row", "start", "end", "digest", "keep_id",
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"),
+        ),
+        "unit-places",
+    )
+    grown = materialize(_grown(rows, hits), "grown-units")
+    loss = [F.coalesce(n, F.lit(0)).alias(n) for n in ("before", "after")]
+    return (
+        hits.filter("NOT stays").join(grown.hint("merge"), ["row", "start"], "left")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "keep_id", *loss)))
              .alias("spans"))
     )
 
 
+def _places(spans: list[dict] | None, text: bytes | None) -> list[dict]:
+    """``spans`` with the words by which they grow, in order."""
+    out = []
+    for span in spans or []:
+        start, end = span["start"], span["end"]
+        if span["before"]:
+            start = _before(text, start, span["before"])[-1][0]
+        if span["after"]:
+            end = _after(text, end, span["after"])[-1][1]
+        out.append({"start": start, "end": end, "keep_id": span["keep_id"]})
+    return sorted(out, key=lambda s: (s["start"], s["end"]))
+
+
 def _merged(spans: list[dict], text: bytes) -> list[tuple[int, int]]:
     """Places to cut: overlapping spans joined, with the white space behind them."""
     out: list[list[int]] = []
@@ -191,14 +356,12 @@ def _merged(spans: list[dict], text: bytes) -> list[tuple[int, int]]:
     return [tuple(c) for c in out]
 
 
-def _cut(text: bytes | None, spans: list[dict] | None) -> tuple[bytes | None, int]:
+def _cut(text: bytes | None, spans: list[dict]) -> tuple[bytes | None, int]:
     """(text without the spans, characters removed)."""
     if text is None or not spans:
         return text, 0
     kept, at, removed = [], 0, 0
     for start, end in _merged(spans, text):
-        if end > len(text):
-            continue  # another row with the same id
         kept.append(text[at:start])
         removed += len(text[start:end].decode("utf-8", "replace"))
         at = end
@@ -206,44 +369,48 @@ def _cut(text: bytes | None, spans: list[dict] | None) -> tuple[bytes | None, in
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut, and what was cut by doc_id.
+    """All columns of ``docs`` with ``text`` cut, and what was cut from each row. ``docs`` is a
+    table read from files, so that its rows are numbered alike whenever it is read.
 
     Columns added: ``_spans`` (byte places in the original text), ``_removed`` (characters).
-    Rows that share a doc_id are cut by the places that fit their text.
     """
-    lost = materialize(removals(docs), "removals").select(
-        F.col("doc_id").alias("_doc_id"), F.col("spans").alias("_spans")
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered.select(
+        F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+    )
+    lost = materialize(removals(rows), "removals").select(
+        F.col("row").alias("_row"), F.col("spans").alias("_spans")
     )
     # Spans grow with the corpus: they are not for a broadcast at any size.
-    joined = docs.join(
-        lost.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")), "left"
-    ).drop("_doc_id")
-    place = joined.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema)
+    joined = numbered.join(lost.hint("merge"), "_row", "left").drop("_row")
+    place, last = joined.columns.index("text"), joined.columns.index("_spans")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("keep_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            found = [_cut(t, s) for t, s in zip(texts, batch.column("_spans").to_pylist())]
+            spans = [_places(s, t) for s, t in zip(batch.column("_spans").to_pylist(), texts)]
+            found = [_cut(t, s) for t, s in zip(texts, spans)]
             columns = list(batch.columns)
             kept = pa.array([t for t, _ in found], pa.large_binary())
             columns[place] = kept.cast(pa.large_string()).cast(batch.schema.field(place).type)
+            columns[last] = pa.array(spans, pa.list_(span))
             removed = pa.array([n for _, n in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*columns, removed], names=[*batch.schema.names, "_removed"]
             )
 
-    return joined.mapInArrow(run, f"{schema}, _removed long")
+    return joined.mapInArrow(run, f"{schema}, _spans array<struct<{SPAN}>>, _removed long")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_removed_chars, spans, keep_ids): every row with what is left of it,
     the byte places that went and the documents that keep those passages."""
     done = cleaned(docs.select("doc_id", "text"))
-    spans = F.coalesce("_spans", F.array().cast(f"array<struct<{SPAN}>>"))
     return done.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.col("_removed").alias("n_removed_chars"),
-        F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["keep_id"])).alias("spans"),
-        F.array_distinct(F.transform(spans, lambda s: s["keep_id"])).alias("keep_ids"),
+        F.col("_spans").alias("spans"),
+        F.array_distinct(F.transform("_spans", lambda s: s["keep_id"])).alias("keep_ids"),
     )
