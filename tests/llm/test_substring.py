@@ -1,4 +1,4 @@
-"""Shared passages over many lines, by plain search."""
+"""Shared passages over many lines, and rows that share an id, by plain search."""
 
 import random
 
@@ -35,3 +35,19 @@ def test_passages_over_short_lines_go_whole(spark):
             want = text.split()
             at = want.index(f"own{n}a") + 1
             assert left == want[:at] + want[at + len(passage) :]
+
+
+def test_rows_with_one_id_are_cut_at_their_own_places(spark):
+    passage = words(60, 70)
+    other = " ".join(f"é中{i}ü" for i in range(200))
+    rows = [
+        (1, passage), (2, words(30, 71) + "\n" + passage + "\n" + words(30, 72)),
+        (2, other), (2, passage + " new " + other[:49]), (2, None), (None, words(90, 73)),
+        (None, words(90, 73)), (3, words(90, 73)),
+    ]
+    got = substring_dedup.substring_dedup(table(spark, rows)).collect()
+    found = sorted((r.text.strip() for r in got if r.doc_id == 2 and r.text is not None))
+    assert found == sorted([words(30, 71) + "\n\n" + words(30, 72), other, "new " + other[:49]])
+    assert [r.text for r in got if r.doc_id is None] == [words(90, 73)] * 2
+    assert [r.text for r in got if r.doc_id == 3] == [""]
+    assert [r.spans for r in got if r.text == other] == [[]]
