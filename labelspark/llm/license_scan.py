@@ -12,11 +12,14 @@ rows each give rows; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Notices and short licence texts by SPDX identifier.
-KNOWN = (
+SHORT = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("MIT", "Released under the MIT License."),
@@ -58,6 +61,55 @@ KNOWN = (
             "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 )
 
+# Titles that stand above a licence's text, which does not hold them itself.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License",
+                     "The 2-Clause BSD License", "Simplified BSD License",
+                     'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License",
+                     "The 3-Clause BSD License", "New BSD License",
+                     'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+# Whole licence texts, one file for each identifier.
+TEXTS = Path(__file__).parent / "licenses"
+ENDING = re.compile("END OF TERMS AND CONDITIONS")
+
+
+def _wordings(name: str, text: str) -> list[str]:
+    """Forms in which the whole text of a licence is given: with and without a title, the
+    appendix on how to apply it and numbers of clauses; lines as they are or joined to
+    paragraphs (lines matter for what is taken as a copyright line)."""
+    forms = [text]
+    end = ENDING.search(text)
+    if end:
+        forms += [text[: end.end()], text[: end.start()]]
+        forms.append(re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", text))
+    if name.startswith("BSD"):
+        forms.append(re.sub(r"(?m)^[0-9]\. ", "", text))
+    forms += [f"{title}\n\n{form}" for title in TITLES.get(name, ()) for form in forms]
+    joined = [
+        "\n\n".join(" ".join(part.split()) for part in re.split(r"\n[ \t]*\n", form))
+        for form in forms
+    ]
+    return list(dict.fromkeys(forms + joined))
+
+
+def _known() -> tuple[tuple[str, str], ...]:
+    """(identifier, text) of all known texts."""
+    rows = list(SHORT)
+    for name, text in SHORT:
+        if len(text) > 500 and name in TITLES:
+            rows += [(name, form) for form in _wordings(name, text)[1:]]
+    for path in sorted(TEXTS.glob("*.txt")):
+        rows += [(path.stem, form) for form in _wordings(path.stem, path.read_text("utf-8"))]
+    return tuple(rows)
+
+
+KNOWN = _known()
+
 # Spellings that count as one, in canonical form (the second stands for both).
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"),
@@ -96,7 +148,8 @@ def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, unit, digest, license_id): unit 0 is the whole text and there for every row;
-    units from 1 on are lines that are a known text. ``known`` is (digest, license_id)."""
+    units from 1 on are lines that are a known text. ``known`` is (digest, license_id), one row
+    for each digest: ``known_digests`` of KNOWN or of further texts, or any other table."""
     text = F.coalesce(F.col("text"), F.lit(""))
     units = F.concat(F.array(text), F.split(text, "\n", -1))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), units.alias("units")).select(
