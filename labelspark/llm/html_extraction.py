@@ -8,7 +8,9 @@ taken for a template. Inside an ``article`` or ``main`` element a subtree must r
 pages of the host, since what stands there is content unless it stands everywhere.
 
 Elements that say by their tag, role or class that they are menus, forms, adverts, notices,
-comments and the like go too, also on hosts with few pages. Of what is left the text of the
+comments and the like go too, also on hosts with few pages. A class, an id or a form says so of a box, not of
+a wrapper: it bars nothing that holds the page's main element, its article, its heading with
+paragraphs, or most of its paragraphs. Of what is left the text of the
 largest ``article``, or else ``main``, or else the body is given, block by block.
 
 Parsing and hashing happen once, where the page lies; what goes on is the page's blocks of text
@@ -66,7 +68,7 @@ SAME_KIND = {
 }
 # Tags, roles and words of class or id that are never main text.
 BARRED_TAGS = frozenset(
-    "aside button canvas datalist dialog footer form head iframe input menu nav noframes noembed "
+    "aside button canvas datalist dialog footer head iframe input menu nav noframes noembed "
     "noscript object script select style svg template textarea title audio video map".split()
 )
 BARRED_ROLES = frozenset(
@@ -81,6 +83,12 @@ BARRED_WORDS = frozenset(
     "related recommended recommendations pagination pager widget toolbar skip teaser "
     "outbrain taboola".split()
 )
+# What readers add is not main text, however long it is.
+COMMENT_WORDS = frozenset(
+    "comment comments commentlist disqus reply replies respond".split()
+)
+# Paragraphs of a page that are fewer characters than this say nothing about a wrapper.
+MIN_PARAGRAPHS = 200
 WORDS = re.compile(r"[a-z0-9]+")
 ATTRIBUTE = re.compile(
     r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)",
@@ -94,39 +102,91 @@ TAG = re.compile(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _barred(tag: str, attributes: str) -> bool:
+# How an element is barred by itself: not, as a box that may turn out to be a wrapper, as
+# readers' comments, for good.
+OPEN, BOX, COMMENTS, SHUT = range(4)
+
+
+def _bar(tag: str, attributes: str) -> int:
     if tag in BARRED_TAGS:
-        return True
+        return SHUT
+    bar = BOX if tag == "form" else OPEN
     if not attributes:
-        return False
+        return bar
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             if tag not in ("body", "html", "article", "main") or "comment" in value:
-                if not BARRED_WORDS.isdisjoint(WORDS.findall(value)):
-                    return True
+                words = WORDS.findall(value)
+                if not BARRED_WORDS.isdisjoint(words):
+                    bar = max(bar, BOX if COMMENT_WORDS.isdisjoint(words) else COMMENTS)
         elif name == "role" and value in BARRED_ROLES:
-            return True
+            return SHUT
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return SHUT
         elif name == "style" and HIDDEN.search(value):
-            return True
-    return False
+            return SHUT
+    return bar
 
 
 class _Element:
-    __slots__ = ("tag", "barred", "inside", "parent", "digest", "size", "number", "has_h1")
+    __slots__ = ("tag", "bar", "barred", "inside", "parent", "digest", "size", "number", "has_h1")
 
-    def __init__(self, tag: str, parent: _Element | None, barred: bool):
-        self.tag, self.parent, self.barred = tag, parent, barred
+    def __init__(self, tag: str, parent: _Element | None, bar: int):
+        self.tag, self.parent, self.bar, self.barred = tag, parent, bar, False
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.digest = xxhash.xxh64(tag)
         self.size, self.number, self.has_h1 = 0, -1, False
 
 
+def _settle(blocks: list[tuple[_Element, str]], elements: list[_Element]) -> None:
+    """Open the boxes that are wrappers; what stands in a barred element is barred too."""
+    boxes = {id(e): 0 for e in elements if e.bar in (BOX, COMMENTS)}
+    if boxes:
+        shut: set[int] = set()
+        for e in reversed(elements):
+            if e.bar == SHUT or id(e.parent) in shut:
+                shut.add(id(e))
+        total = 0
+        for owner, text in blocks:
+            if id(owner) in shut:
+                continue
+            chain = list(_chain(owner))
+            if any(e.tag == "p" for e in chain):
+                total += len(text)
+                for e in chain:
+                    if id(e) in boxes:
+                        boxes[id(e)] += len(text)
+        # Which boxes hold one, and how many there are on the page.
+        held = {"main": {}, "article": {}, "h1": {}}
+        count = dict.fromkeys(held, 0)
+        for e in elements:
+            if e.tag not in held or e.bar != OPEN or id(e) in shut or not (e.size or e.tag == "h1"):
+                continue
+            if e.tag == "article" and 2 * e.size < total:
+                continue
+            count[e.tag] += 1
+            for p in _chain(e.parent):
+                if id(p) in boxes:
+                    held[e.tag][id(p)] = held[e.tag].get(id(p), 0) + 1
+        for e in elements:
+            own = boxes.get(id(e))
+            if own is None:
+                continue
+            wrapper = (
+                id(e) in held["main"] or id(e) in held["article"] or (own and id(e) in held["h1"])
+            )
+            if e.bar == BOX and not (count["main"] or count["article"]):
+                wrapper = wrapper or (own >= MIN_PARAGRAPHS and 2 * own > total)
+            if wrapper:
+                e.bar = OPEN
+    for e in reversed(elements):
+        e.barred = e.bar != OPEN or e.parent.barred
+
+
 def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
     """(blocks: innermost element and text, in page order; elements, inner ones first)."""
-    root = _Element("#page", None, False)
+    root = _Element("#page", None, OPEN)
     stack, blocks, done = [root], [], []
     words: list[str] = []
     owner = root
@@ -188,8 +248,8 @@ def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
         if tag in VOID:
             continue
         parent = stack[-1]
-        element = _Element(tag, parent, parent.barred or _barred(tag, match[3]))
-        if element.barred and not parent.barred:
+        element = _Element(tag, parent, _bar(tag, match[3]))
+        if element.bar != OPEN:
             flush()
         if match[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -204,6 +264,7 @@ def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
         words.append(html[at:])
     flush()
     pop_to(1)
+    _settle(blocks, done)
     return blocks, done
 
 
