@@ -36,10 +36,9 @@ from pyspark.sql import functions as F
 from labelspark.llm.common import slices
 from labelspark.session import materialize
 
-# A subtree on at least so many different pages of a host, and on at least that share of them,
-# is template; the second share holds inside article and main.
+# A subtree on at least so many different pages of a host is template, whatever the host's size;
+# inside article and main it must also be on at least that share of them.
 MIN_PAGES = 5
-MIN_SHARE = 0.05
 MIN_SHARE_INSIDE = 0.5
 
 # Elements without content, elements that begin a block, and what a start tag
@@ -372,7 +371,6 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         .filter(F.col("n") >= min_pages)
         .join(hosts, "host")
         .select("host", "hash", (F.col("n") / F.col("pages")).alias("share"))
-        .filter(F.col("share") >= MIN_SHARE)
     )
 
 
@@ -388,7 +386,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             F.transform(_around("inner"),
                         lambda h: F.struct(h.alias("hash"), F.lit(MIN_SHARE_INSIDE).alias("least"))),
             F.transform(_around("outer"),
-                        lambda h: F.struct(h.alias("hash"), F.lit(MIN_SHARE).alias("least"))),
+                        lambda h: F.struct(h.alias("hash"), F.lit(0.0).alias("least"))),
         )
     ).alias("a")).select("row", "host", "a.hash", "a.least")
     gone = materialize(

@@ -35,3 +35,17 @@ def test_a_heading_with_paragraphs_stays():
 def test_comments_are_no_main_text():
     blocks, _ = html.page_blocks(f"<p>own</p><div class='comments'><p>{LONG}</div>")
     assert [t for t, _, _ in blocks] == ["own"]
+
+
+def test_a_notice_on_few_pages_of_a_large_host_goes(spark):
+    pages = [
+        (i, f"http://a.org/{i}", f"<p>own text {i}</p>" + ("<div><p>Notice of 2019</p></div>" if i < 8 else ""))
+        for i in range(400)
+    ]
+    pages += [(400 + i, f"http://a.org/in{i}", f"<main><p>own {i}<p>Said inside</main>") for i in range(8)]
+    pages += [(500 + i, f"http://a.org/few{i}", f"<p>few {i}</p><p>On four pages</p>") for i in range(4)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(table).collect()}
+    assert all(got[i] == f"own text {i}" for i in range(400))
+    assert all(got[400 + i] == f"own {i}\n\nSaid inside" for i in range(8))
+    assert all(got[500 + i] == f"few {i}\n\nOn four pages" for i in range(4))
