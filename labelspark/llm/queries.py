@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelspark.llm import (
     byte_bpe,
+    decontamination,
     exact_dedup,
     fingerprints,
     html_extraction,
@@ -74,12 +75,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), BYTE_VOCABULARY)
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.report(documents(spark, sf_dir), benchmark)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_exact_dedup, op5_line_dedup,
         op6_document_fingerprints, op7_simhash_near_dedup, op8_html_extraction,
-        op9_substring_dedup, op10_byte_bpe,
+        op9_substring_dedup, op10_byte_bpe, op11_benchmark_decontamination,
     )
 }
 
@@ -98,6 +104,11 @@ def _canonical(text: str) -> str:
     return plain
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
 _KNOWN = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in license_scan.KNOWN)
 
 SQL = {
@@ -146,4 +157,30 @@ SQL = {
                    FILTER (last_id IS NULL OR last_id = doc_id), '')) AS kept_sha256
         FROM keyed LEFT JOIN shared USING (k) GROUP BY doc_id
     """,
+    "op11_benchmark_decontamination": f"""
+        WITH items AS (
+            SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+        ), docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        sizes AS (
+            SELECT item, w, least(len(w), {decontamination.SPAN}) AS size FROM items WHERE len(w) > 0
+        ), known AS (
+            SELECT DISTINCT item, size, list_slice(w, i, i + size - 1) AS win
+            FROM (SELECT item, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM sizes)
+        ), asked AS (
+            SELECT r, i, size, list_slice(w, i, i + size - 1) AS win
+            FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i
+                  FROM docs, (SELECT DISTINCT size FROM sizes))
+        ), hits AS (SELECT r, i, size, item FROM asked JOIN known USING (size, win)),
+        places AS (
+            SELECT r, count(DISTINCT p) AS n_hit
+            FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r
+        ), listed AS (
+            SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+            FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+               n_hit IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN places USING (r) LEFT JOIN listed USING (r)
+    """,
 }
