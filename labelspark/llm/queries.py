@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelspark.llm import (
     byte_bpe,
+    conversation_trie,
     decontamination,
     exact_dedup,
     fingerprints,
@@ -80,12 +81,18 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.report(documents(spark, sf_dir), benchmark)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_trie.trie(conversation_trie.branched(conversation_trie.paths(turns)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_exact_dedup, op5_line_dedup,
         op6_document_fingerprints, op7_simhash_near_dedup, op8_html_extraction,
         op9_substring_dedup, op10_byte_bpe, op11_benchmark_decontamination,
+        op12_conversation_trie,
     )
 }
 
@@ -104,6 +111,13 @@ def _canonical(text: str) -> str:
     return plain
 
 
+# CRC-32 of a conversation's decimal id: bit by bit, since DuckDB has no function for it.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+    string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), list_transform(range(8), lambda z: z::UBIGINT)),
+    lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::UBIGINT) ELSE s // 2 END)),
+    4294967295::UBIGINT)"""
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -183,4 +197,35 @@ SQL = {
                n_hit IS NOT NULL AS contaminated
         FROM docs LEFT JOIN places USING (r) LEFT JOIN listed USING (r)
     """,
+    "op12_conversation_trie": f"""
+        WITH turns AS (
+            SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+                   ORDER BY turn NULLS FIRST) AS p
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), counted AS (SELECT c, p, {_CRC32} % 6 AS h FROM turns),
+        rebuilt AS (
+            SELECT a.c, list_concat(list_slice(coalesce(b.p, []), 1, h), list_slice(a.p, h + 1, len(a.p))) AS p
+            FROM counted a LEFT JOIN turns b ON b.c = a.c - a.c % 100
+        ), prefixes AS (
+            SELECT c, len(p) AS size, d, list_slice(p, 1, d) AS node
+            FROM (SELECT c, p, unnest(range(0, len(p) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+            SELECT node, d, min(c) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '')) AS ends_sha256,
+                   (count(*) - 1) * coalesce(length(node[d].t), 0) AS saved
+            FROM prefixes GROUP BY node, d
+        ), kids AS (
+            SELECT list_slice(node, 1, d - 1) AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+        ), above AS (
+            SELECT list_slice(n.node, 1, u) AS node, n.saved, (k.n IS NULL)::INT AS leaf
+            FROM (SELECT node, saved, unnest(range(0, d + 1)) AS u FROM nodes) n LEFT JOIN kids k USING (node)
+        ), sums AS (
+            SELECT node, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves
+            FROM above GROUP BY node
+        )
+        SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs,
+               coalesce(k.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums USING (node) LEFT JOIN kids k USING (node)
+        LEFT JOIN nodes q ON n.d > 0 AND q.d = n.d - 1 AND q.node = list_slice(n.node, 1, n.d - 1)
+    """,
 }
