@@ -18,11 +18,14 @@ from labelspark.llm import (
     packing,
     simhash,
     substring_dedup,
+    tokenizer_alignment,
     toxicity,
 )
 from labelspark.llm.common import documents
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SIDE_A = public_tokenizers.path("byte_bpe_50k.json")
+SIDE_B = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -86,13 +89,17 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(conversation_trie.branched(conversation_trie.paths(turns)))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.align(documents(spark, sf_dir), SIDE_A, SIDE_B)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_exact_dedup, op5_line_dedup,
         op6_document_fingerprints, op7_simhash_near_dedup, op8_html_extraction,
         op9_substring_dedup, op10_byte_bpe, op11_benchmark_decontamination,
-        op12_conversation_trie,
+        op12_conversation_trie, op13_tokenizer_alignment,
     )
 }
 

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from labelspark.llm import conversation_trie as C
@@ -90,13 +91,22 @@ def test_blocks_continue_and_tails_are_chains(spark):
     assert plain(C.trie(table.unionByName(empty))) == expected(conversations | {51: []})
 
 
-def test_member_lists_in_pieces(spark, monkeypatch):
-    turns = [(i * 3, 0, "user", "same") for i in range(50)] + [(1, 0, "user", "other")]
+def test_member_lists_in_pieces(monkeypatch):
+    """Lists cut into short pieces, over several batches, have the digest of the whole list."""
     monkeypatch.setattr(C, "PIECE_IDS", 4)
-    table = C.paths(spark.createDataFrame(turns, SCHEMA))
-    assert plain(C.trie(table)) == expected(
-        {c: [(r, t)] for c, _, r, t in turns}
-    )
+    members = [(bytes([k]), i * 3) for k, n in ((1, 50), (2, 1), (3, 4), (4, 5)) for i in range(n)]
+
+    def batches(rows, names, size):
+        for at in range(0, len(rows), size):
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[at : at + size]])
+
+    pieces = [r for b in C._pieces(batches(members, ("seq", "conv_id"), 7)) for r in b.to_pylist()]
+    assert max(p["said"].count(",") for p in pieces) == 3 and len(pieces) == 13 + 1 + 1 + 2
+    rows = [(p["seq"], p["said"]) for p in pieces]
+    hashed = [r for b in C._hashed(batches(rows, ("seq", "said"), 3)) for r in b.to_pylist()]
+    for k, n in ((1, 50), (2, 1), (3, 4), (4, 5)):
+        want = hashlib.sha256(",".join(str(i * 3) for i in range(n)).encode()).hexdigest()
+        assert [h["ends_sha256"] for h in hashed if h["seq"] == bytes([k])] == [want]
 
 
 def test_empty_and_turnless_tables(spark):

@@ -1,0 +1,133 @@
+"""The alignment against both libraries on whole texts and loops over all token pairs."""
+
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+import sentencepiece
+import tokenizers
+
+from labelspark.llm import tokenizer_alignment as T
+from labelspark.llm.queries import SIDE_A, SIDE_B
+from tests.llm.data import CLASHING, awkward, plain, table, words
+
+A = tokenizers.Tokenizer.from_file(SIDE_A)
+A.encode_special_tokens = True
+B = sentencepiece.SentencePieceProcessor(model_file=SIDE_B)
+SIGNS = T._byte_of_sign()
+
+ODD = [
+    "a   ", "   ", " ", "  two  blanks ", "x <|endoftext|> y <s> </s> <unk>", "▁low line ▁",
+    "ᲉꟋ new letters \U000105c0", "tabs\tand\r\n lines\n\n end\n", "café ﬁ 北京 \U0001f600\U0001f468‍\U0001f469",
+    "\x00nul \x7f", "it's we'll I'VE 12345 ...!!", "　wide\xa0blanks ", "é combining",
+]
+
+
+def tokens(text):
+    """[(id, bytes)] of both sides, or None."""
+    if not text:
+        return None
+    led = (" " + text).encode()
+    a = [(i, bytes(SIGNS[c] for c in A.id_to_token(i))) for i in A.encode(" " + text, add_special_tokens=False).ids]
+    b = []
+    for i in B.encode(text):
+        piece = B.id_to_piece(i)
+        b.append((i, bytes([int(piece[3:5], 16)]) if B.is_byte(i) else piece.replace("▁", " ").encode()))
+    if b"".join(t for _, t in a) != led or b"".join(t for _, t in b) != led:
+        return None
+    return a, b
+
+
+def expected(docs):
+    known, holders = [], {}
+    for n, (_, text) in enumerate(docs):
+        sides = tokens(text)
+        links, groups = [], []
+        if sides:
+            spans = [np.cumsum([0, *[len(t) for _, t in side]]).tolist() for side in sides]
+            for i, (a, _) in enumerate(sides[0]):
+                for j, (b, _) in enumerate(sides[1]):
+                    if spans[1][j] >= spans[0][i + 1]:
+                        break
+                    if spans[1][j + 1] > spans[0][i]:
+                        links.append((a, b))
+            ends = sorted(set(spans[0][1:]) & set(spans[1][1:]))
+            low = 0
+            for high in ends:
+                said = [
+                    ",".join(str(side[k][0]) for k in range(len(side)) if low < at[k + 1] <= high)
+                    for side, at in zip(sides, spans)
+                ]
+                groups.append("|".join(said))
+                low = high
+        for pair in set(links):
+            holders.setdefault(pair, set()).add(n)
+        known.append((sides, links, groups))
+    count = {pair: len(h) for pair, h in holders.items()}
+    best = {}
+    for (a, _), n in count.items():
+        best[a] = max(best.get(a, 0), n)
+    out = []
+    for (doc, _), (sides, links, groups) in zip(docs, known):
+        out.append((
+            doc, len(sides[0]) if sides else 0, len(sides[1]) if sides else 0, len(groups), len(links),
+            sum(count[p] == best[p[0]] for p in links), sum(count[p] for p in links),
+            hashlib.sha256(";".join(groups).encode()).hexdigest() if sides else "",
+        ))
+    return sorted(out, key=repr)
+
+
+def short(rows):
+    return [(i, t if t is None else t[:3000]) for i, t in rows]
+
+
+def test_awkward_rows(spark):
+    rows = short(awkward()) + [(300 + i, t) for i, t in enumerate(ODD)]
+    got = T.align(table(spark, rows, clashing=True), SIDE_A, SIDE_B)
+    assert plain(got) == expected(rows)
+
+
+def test_many_runs_and_rounds_of_merging(spark):
+    pick = random.Random(9)
+    rows = [(i, words(pick.randint(0, 60), i % 50) + pick.choice(ODD)) for i in range(400)]
+    want = expected(rows)
+    docs = table(spark, rows).repartition(40)
+    assert plain(T.align(docs, SIDE_A, SIDE_B, run_records=200, fan_in=4)) == want
+    assert plain(T.align(docs, SIDE_A, SIDE_B)) == want
+
+
+def test_parts_encoded_apart_are_whole_texts(spark):
+    """Ids of slices of real texts against both libraries, also where words were cut apart."""
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    found = T.aligner(SIDE_A, SIDE_B)
+    data, offsets = T._led(pa.array(texts + ODD))
+    for side, library in ((found.a, lambda t: A.encode(" " + t, add_special_tokens=False).ids), (found.b, B.encode)):
+        ids, text, _ = T.encoded(side, data, offsets)
+        cut = np.searchsorted(text, np.arange(len(offsets)))
+        for i, t in enumerate(texts + ODD):
+            assert ids[cut[i] : cut[i + 1]].tolist() == library(t), t
+
+
+def test_unreadable_texts_and_empty_tables(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(x'61ff62' AS string) AS text UNION ALL SELECT 2, 'ab'")
+    assert plain(T.align(docs, SIDE_A, SIDE_B)) == expected([(1, None), (2, "ab")])
+    assert plain(T.align(spark.createDataFrame([], CLASHING), SIDE_A, SIDE_B)) == []
+    assert plain(T.align(table(spark, [(1, None), (2, "")]), SIDE_A, SIDE_B)) == expected([(1, None), (2, "")])
+
+
+@pytest.mark.parametrize("runs", [1, 3, 70])
+def test_heap_merge(runs):
+    pick = np.random.default_rng(runs)
+    total, frames = {}, []
+    for _ in range(runs):
+        pairs = np.unique(pick.integers(0, 400, 60))
+        counts = pick.integers(1, 9, len(pairs))
+        frames.append(T.packed(T.steps(pairs), counts))
+        for p, c in zip(pairs.tolist(), counts.tolist()):
+            total[p] = total.get(p, 0) + c
+    found = list(T.merged(frames, 10))
+    assert [np.unique(p // 10).tolist() for p, _ in found] == [[a] for a in sorted({p // 10 for p in total})]
+    assert {p: c for ps, cs in found for p, c in zip(ps.tolist(), cs.tolist())} == total
