@@ -82,3 +82,11 @@ class Memo:
         """One column's values for ``numbers`` in one buffer, and the offsets in it."""
         data, offsets = buffers(self.values[column].take(pa.array(numbers)))
         return data.tobytes(), offsets
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores behind it as keep it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -32,87 +32,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import buffers, slices
+from labelspark.llm.common import slices
+from labelspark.llm.words import WORD_FACTOR, Powers, Words, lowest_grams
 from labelspark.session import materialize
 
 SPAN = 10
 
-# Odd multipliers of the rolling hashes.
-WORD_FACTOR = 0x9E3779B97F4A7C15
-GRAM_FACTOR = 0xC2B2AE3D27D4EB4F
-
 # Bytes of words are digits, letters and all of characters beyond ASCII.
 IN_WORD = np.zeros(256, bool)
 IN_WORD[0x30:0x3A] = IN_WORD[0x41:0x5B] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 0x20
 
 WINDOWS = "row long, doc_id long, n_words long, start int, size int, digest binary"
 
 
-class Powers:
-    """Powers of an odd factor and of its inverse modulo 2 ** 64, as far as needed."""
-
-    def __init__(self, factor: int):
-        self.factors = [factor, pow(factor, -1, 1 << 64)]
-        self.tables = [np.ones(1, np.uint64)] * 2
-
-    def up_to(self, n: int) -> list[np.ndarray]:
-        if len(self.tables[0]) <= n:
-            size = max(2 * len(self.tables[0]), n + 1)
-            self.tables = []
-            for factor in self.factors:
-                steps = np.full(size, factor, np.uint64)
-                steps[0] = 1
-                self.tables.append(np.multiply.accumulate(steps))
-        return self.tables
-
-
-class Words:
-    """The words of a slice of texts: places, owners and 64-bit hashes."""
-
-    def __init__(self, column: pa.Array, powers: Powers):
-        self.data, self.offsets = buffers(column)
-        data, offsets = self.data, self.offsets
-        inside = IN_WORD[data]
-        opens, closes = inside.copy(), inside.copy()
-        opens[1:] &= ~inside[:-1]
-        closes[:-1] &= ~inside[1:]
-        edges = offsets[:-1][np.diff(offsets) > 0]
-        opens[edges] = inside[edges]
-        closes[edges[1:] - 1] = inside[edges[1:] - 1]
-        self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        self.text_of = np.searchsorted(offsets, self.starts, side="right") - 1
-        self.counts = np.bincount(self.text_of, minlength=len(offsets) - 1)
-        # One past the last word of each word's text, and the first word of each text.
-        self.last_of = np.cumsum(self.counts)[self.text_of]
-        self.first = np.cumsum(self.counts) - self.counts
-        forth, back = powers.up_to(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * forth[: len(data)], out=sums[1:])
-        self.hashes = mixed((sums[self.ends] - sums[self.starts]) * back[self.starts])
-
-    def lowered(self) -> bytes:
-        return LOWER[self.data].tobytes()
-
-
-def mixed(values: np.ndarray) -> np.ndarray:
-    """Hashes spread so that their order says nothing about the words."""
-    values = values ^ (values >> np.uint64(31))
-    values = values * np.uint64(GRAM_FACTOR)
-    return values ^ (values >> np.uint64(29))
-
-
-def _over(values: np.ndarray, size: int, pick) -> np.ndarray:
-    """``pick`` (minimum or maximum) of each ``size`` consecutive values, by doubling."""
-    done = 1
-    while done < size:
-        step = min(done, size - done)
-        values = pick(values[:-step], values[step:])
-        done += step
-    return values
-
-
 def gram_size(span: int) -> int:
     return (span + 1) // 2
 
@@ -120,21 +52,11 @@ def gram_size(span: int) -> int:
 def winnow(words: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(word numbers, fingerprints): the smallest grams of every span inside one text."""
     k = gram_size(span)
-    w = span - k + 1
-    n = len(words.hashes) - span + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = np.full(n + w - 1, span, np.uint64)
-    for i in range(k):
-        grams = grams * np.uint64(WORD_FACTOR) + words.hashes[i : i + n + w - 1]
-    grams = mixed(grams)
-    lowest = _over(grams, w, np.minimum)
-    # Spans that reach into the next text say nothing; 0 is no minimum of any of them.
-    lowest[np.arange(n) + span > words.last_of[:n]] = 0
-    around = np.zeros(n + 2 * (w - 1), np.uint64)
-    around[w - 1 : w - 1 + n] = lowest
-    at = np.flatnonzero((_over(around, w, np.maximum) == grams) & (grams > 0))
-    return at, grams[at]
+    return lowest_grams(words, k, span - k + 1, span)
+
+
+def _words(column: pa.Array, powers: Powers) -> Words:
+    return Words(column, powers, IN_WORD)
 
 
 def fingerprints(rows: DataFrame, spans: list[int]) -> DataFrame:
@@ -143,7 +65,7 @@ def fingerprints(rows: DataFrame, spans: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
         for batch in slices(batches):
-            words = Words(batch.column("text"), powers)
+            words = _words(batch.column("text"), powers)
             for span in spans:
                 at, found = winnow(words, span)
                 text = words.text_of[at]
@@ -176,7 +98,7 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     def classes(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
         for batch in slices(batches):
-            words = Words(batch.column("text"), powers)
+            words = _words(batch.column("text"), powers)
             lowered = words.lowered()
             whole = [
                 _digests(words, lowered, np.array([first]), n)[0] if n else None
@@ -198,7 +120,7 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     def windows(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
         for batch in slices(batches):
-            words = Words(batch.column("text"), powers)
+            words = _words(batch.column("text"), powers)
             lowered = words.lowered()
             for size in range(1, SPAN + 1):
                 whole = words.counts[words.text_of] == size if size < SPAN else True
@@ -225,7 +147,7 @@ def _candidate_windows(rows: DataFrame, hits: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
         for batch in slices(batches):
-            words = Words(batch.column("text"), powers)
+            words = _words(batch.column("text"), powers)
             n = batch.num_rows
             counts = pa.array(words.counts.astype(np.int64))
             none = pa.nulls(n, pa.int32())

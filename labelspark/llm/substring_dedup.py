@@ -1,344 +1,268 @@
-"""Removal of passages that occur in several documents.
-
-A text is its sequence of lower-cased words, whatever white space or line breaks stand between
-them, and is hashed passage by passage: a repeated passage seldom begins where its text or line
-does. A unit is ``UNIT_WORDS`` consecutive words that begin at the start of a text, end at its
-end, or begin at an anchor. Anchors depend on the words around them only (the smallest hash of
-``GRAM`` words in any ``WINDOW`` of positions), so copies of a passage have the same anchors; a
-shared passage of WINDOW + GRAM + UNIT_WORDS - 2 words, with these values 34, holds at least one
-whole unit.
-
-Unit digests (128 bits) are grouped over all documents; the earliest occurrence, by doc_id and
-position, stays and units that repeat it in other documents are removed with their places in
-the original text. The first and last anchors inside a passage lie up to ``REACH`` words from its
-ends, so what is removed grows by as many words as also stand beside the unit in the document
-that keeps it (where it first has the unit; 32 bits of each word's hash are compared). Repeats
-inside one document are left.
-
-Skew: digests are counted with partial sums. Only repeated ones are written and joined back to
-the units, where adaptive execution splits a hot digest. Surroundings are read only of what
-the keeping documents have, and of the ends of what the others lose.
-
-Defined cases: null text is empty (null stays null in the result's text); rows with the same
-doc_id count as one document, so what only they share stays, and each row is cut at its own
-places; a null doc_id counts as the smallest; an empty table gives an empty result; other
-columns of the input are ignored, or kept by ``cleaned``.
+"""Removal of repeated lines, paragraphs and passages; the earliest occurrence stays.
+
+A text is its sequence of lower-cased words, whatever white space stands between them. Units are
+hashed and grouped over all documents:
+
+* every line and every paragraph (lines without a blank one between) of ``UNIT_WORDS`` or more
+  words;
+* passages of ``UNIT_WORDS`` words, for what is repeated among other words. They begin at anchors
+  that depend on the words around them only (the smallest hash of ``GRAM`` words in any
+  ``WINDOW`` of positions), so copies of a passage have the same ones: any shared passage of
+  WINDOW + GRAM + UNIT_WORDS - 2 words, with these values 48, holds a whole unit.
+
+Occurrences are ranked by doc_id, row and position. The first one stays, every later one goes,
+in the same document too: a periodic text keeps its first period. What overlaps or touches is one
+run; it grows, up to ``REACH`` words at either end, as far as the words beside it are those beside
+the first occurrence of the unit at that end (32 bits of each word's hash are compared). Every
+word that goes has an equal one at an earlier rank, so something that is said stays once.
+
+Texts are cut into words three times and shuffled twice: for the units, for the words beside runs,
+and for the cut. Units are written once. Digests (128 bits) are counted with partial sums; only
+repeated ones are joined back to the units, where adaptive execution splits a hot digest once its
+partition passes Spark's threshold for skew.
+
+Defined cases: null text is empty (null stays null in the result's text); a null doc_id counts as
+the smallest; rows with the same doc_id rank by their row and each is cut at its own places; of
+repeated rows the first keeps the text; an empty table gives an empty result; other columns of
+the input are ignored, or kept by ``cleaned``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelspark.llm.common import Memo, buffers, pieces, slices
+from labelspark.llm.common import free_name, slices
+from labelspark.llm.words import (
+    GRAM_FACTOR, SECOND_FACTOR, WORD_FACTOR, Powers, Words, lowest_grams, mixed,
+)
 from labelspark.session import materialize
 
 UNIT_WORDS = 20
-WINDOW = 12
+WINDOW = 26
 GRAM = 4
 # Words between a passage's end and the nearest unit, at most.
 REACH = WINDOW + GRAM - 2
-# Odd multipliers of the rolling hashes.
-FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-WHITE = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
-
-BLANKS = frozenset(b"\t\n\x0b\x0c\r ")
-
-SPAN = "start int, end int, keep_id bigint"
-
-
-def _word_hashes(words: list[bytes]) -> list[tuple[bytes]]:
-    return [(blake2b(w.rstrip().lower(), digest_size=16).digest(),) for w in words]
-
-
-def _rolling(hashes: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """sum of hashes[i + k] * factor ** (size - 1 - k), modulo 2 ** 64, for each i."""
-    total = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
-    for k in range(size):
-        total = total * np.uint64(factor) + hashes[k : len(hashes) - size + 1 + k]
-    return total
-
-
-class Units:
-    """Finds units, across line breaks or inside lines; keeps a memo of word hashes."""
-
-    def __init__(self, across: bool = False):
-        self.across = across
-        self.memo = Memo(_word_hashes, 1)
-
-    def find(self, column: pa.Array):
-        """(text number, byte start, byte end, digests as (n, 2)) of all units, and the number
-        of words of each text."""
-        data, offsets = buffers(column)
-        white = WHITE[data]
-        opens = ~white
-        opens[1:] &= white[:-1]
-        inner = offsets[:-1][np.diff(offsets) > 0]
-        opens[inner] = ~white[inner]
-        starts = np.flatnonzero(opens)
-        n = len(starts)
-        text_of = np.searchsorted(offsets, starts, side="right") - 1
-        words = np.bincount(text_of, minlength=len(offsets) - 1)
-        empty = np.empty(0, np.int64)
-        if n < UNIT_WORDS:
-            return (empty, empty, empty, np.empty((0, 2), np.uint64)), words
-        # A word ends before the white space behind it.
-        closes = white.copy()
-        closes[1:] &= ~white[:-1]
-        if len(closes):
-            closes[0] = False
-        closing = np.flatnonzero(closes)
-        ends = np.minimum(
-            np.append(closing, len(data))[np.searchsorted(closing, starts, side="right")],
-            offsets[text_of + 1],
-        )
-        cut = np.append(starts, len(data))
-        cut[0] = 0
-        numbered = pieces(data, cut[:-1]).dictionary_encode()
-        known = self.memo.numbers(numbered.dictionary)
-        found, _ = self.memo.gather(
-            0, known[numbered.indices.to_numpy(zero_copy_only=False)]
-        )
-        hashes = np.frombuffer(found, np.uint64).reshape(-1, 2)
-
-        line = text_of  # texts are lines apart
-        if not self.across:
-            line = text_of + np.cumsum(data == 0x0A)[starts]
-        new_line = np.append(True, (line[1:] != line[:-1]) | (text_of[1:] != text_of[:-1]))
-        first = np.flatnonzero(new_line)
-        size = np.diff(np.append(first, n))
-        last_of = np.repeat(first + size, size)  # one past the line's last word
-
-        fits = np.arange(n) + UNIT_WORDS <= last_of
-        chosen = np.zeros(n, bool)
-        chosen[first] = True
-        chosen[(first + size - UNIT_WORDS)[size >= UNIT_WORDS]] = True
-        grams = _rolling(hashes[:, 0], GRAM, FACTORS[1])
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(FACTORS[0])
-        if len(grams) >= WINDOW:
-            lowest = sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(
-                len(grams) - WINDOW + 1
-            )
-            # Windows that reach beyond the line say nothing about it.
-            whole = np.arange(len(lowest)) + WINDOW + GRAM - 1 <= last_of[: len(lowest)]
-            chosen[lowest[whole]] = True
-        at = np.flatnonzero(chosen & fits)
-        digest = np.stack([_rolling(hashes[:, i], UNIT_WORDS, FACTORS[i])[at] for i in (0, 1)], 1)
-        base = offsets[text_of[at]]
-        return (text_of[at], starts[at] - base, ends[at + UNIT_WORDS - 1] - base, digest), words
+
+IN_WORD = ~np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
+
+UNITS = "row long, doc_id long, start int, size int, d1 long, d2 long"
+BESIDE = "row long, at int, side int, own boolean, d1 long, d2 long, beside binary"
+SPAN = T.StructType(
+    [
+        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+        T.StructField("keep_ids", T.ArrayType(T.LongType())),
+    ]
+)
 
 
-def _units(rows: DataFrame, across: bool) -> DataFrame:
-    """(row, doc_id, start, end, digest): byte places of units, digests of 16 bytes."""
+class Cutter:
+    """Words of slices, units among them, and digests of units."""
+
+    def __init__(self):
+        self.bytes, self.first, self.second = (
+            Powers(f) for f in (WORD_FACTOR, GRAM_FACTOR, SECOND_FACTOR)
+        )
+
+    def words(self, column: pa.Array) -> Words:
+        return Words(column, self.bytes, IN_WORD)
+
+    @staticmethod
+    def units(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of words) of all units, in order."""
+        n = len(words.starts)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        line = np.cumsum(words.data == 0x0A)[words.starts]
+        other_text = np.append(True, np.diff(words.text_of) > 0)
+        gap = np.append(0, np.diff(line))
+        starts, sizes = [], []
+        for breaks in (1, 2):  # lines, paragraphs
+            first = np.flatnonzero(other_text | (gap >= breaks))
+            size = np.diff(np.append(first, n))
+            starts.append(first[size >= UNIT_WORDS])
+            sizes.append(size[size >= UNIT_WORDS])
+        at, _ = lowest_grams(words, GRAM, WINDOW, GRAM)
+        at = at[at + UNIT_WORDS <= words.last_of[at]]
+        starts.append(at)
+        sizes.append(np.full(len(at), UNIT_WORDS))
+        both = np.unique(np.concatenate(starts) << 32 | np.concatenate(sizes))
+        return both >> 32, both & 0xFFFFFFFF
+
+    def digests(self, words: Words, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        ends = starts + sizes
+        size = sizes.astype(np.uint64)
+        other = mixed(words.hashes + np.uint64(WORD_FACTOR))
+        return [
+            mixed(powers.sums(values, starts, ends) + size * np.uint64(GRAM_FACTOR)).view(np.int64)
+            for powers, values in ((self.first, words.hashes), (self.second, other))
+        ]
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, start, size, d1, d2): units of texts (row, doc_id, text) in words."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        own = Units(across)
+        own = Cutter()
         for batch in slices(batches):
-            (text, start, end, digest), _ = own.find(batch.column("text"))
-            at = pa.array(text, pa.int64())
-            flat = np.ascontiguousarray(digest).tobytes()
-            places = np.arange(len(text) + 1, dtype=np.int32) * 16
-            keys = pa.BinaryArray.from_buffers(
-                pa.binary(), len(text), [None, pa.py_buffer(places), pa.py_buffer(flat)]
-            )
+            words = own.words(batch.column("text"))
+            starts, sizes = own.units(words)
+            text = words.text_of[starts]
+            at = pa.array(text)
+            d1, d2 = own.digests(words, starts, sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row").take(at), batch.column("doc_id").take(at),
-                 pa.array(start, pa.int32()), pa.array(end, pa.int32()), keys],
-                names=["row", "doc_id", "start", "end", "digest"],
+                 pa.array((starts - words.first[text]).astype(np.int32)),
+                 pa.array(sizes.astype(np.int32)), pa.array(d1), pa.array(d2)],
+                names=["row", "doc_id", "start", "size", "d1", "d2"],
             )
 
-    return rows.select("row", "doc_id", "text").mapInArrow(
-        run, "row long, doc_id long, start int, end int, digest binary"
-    )
+    return rows.select("row", "doc_id", "text").mapInArrow(run, UNITS)
 
 
-def units(docs: DataFrame, across: bool = False) -> DataFrame:
-    """(doc_id, start, end, digest): units inside lines, or ``across`` line breaks."""
-    rows = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
-    return _units(rows, across).drop("row")
-
-
-def repeated(found: DataFrame) -> DataFrame:
-    """(digest, keep_id): units of several documents and the document that keeps them."""
+def repeats(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, later) occurrences of the units that occur more than once: (d1, d2, keep_id, row,
+    start, size) and (row, start, end, d1, d2, keep_id)."""
+    keys = ["d1", "d2"]
+    many = materialize(
+        found.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys),
+        "repeated-units",
+    )
+    hits = materialize(found.join(many.hint("merge"), keys), "unit-places")
+    first = materialize(
+        hits.groupBy(*keys).agg(F.min(F.struct("doc_id", "row", "start", "size")).alias("f"))
+        .select(*keys, F.col("f.doc_id").alias("keep_id"), "f.row", "f.start", "f.size"),
+        "first-places",
+    )
+    kept = first.select(
+        *keys, "keep_id", F.col("row").alias("first_row"), F.col("start").alias("first_start")
+    )
+    later = hits.join(kept.hint("merge"), keys).filter("row <> first_row OR start <> first_start")
+    end = (F.col("start") + F.col("size")).alias("end")
+    return first, later.select("row", "start", end, *keys, "keep_id")
+
+
+def runs(later: DataFrame) -> DataFrame:
+    """(row, lo, hi, keep_ids, left, right): later occurrences that overlap or touch, joined;
+    ``left`` and ``right`` are the digests of the units at the ends."""
+    ordered = Window.partitionBy("row").orderBy("start", "end", "d1", "d2")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")
     return (
-        found.groupBy("digest")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-             F.count_if(F.col("doc_id").isNull()).alias("no_id"),
-             F.count(F.lit(1)).alias("n"))
-        .filter((F.col("low") < F.col("high")) | ((F.col("no_id") > 0) & (F.col("no_id") < F.col("n"))))
-        .select("digest", F.when(F.col("no_id") == 0, F.col("low")).alias("keep_id"))
+        later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(so_far))
+        .groupBy("row", "run")
+        .agg(
+            F.min("start").alias("lo"), F.max("end").alias("hi"),
+            F.array_sort(F.collect_set(F.struct("keep_id"))).alias("keepers"),
+            F.min_by(F.struct("d1", "d2"), F.struct("start", "end")).alias("left"),
+            F.max_by(F.struct("d1", "d2"), F.struct("end", "start")).alias("right"),
+        )
+        .withColumn("keep_ids", F.col("keepers.keep_id")).drop("run", "keepers")
     )
 
 
-def _before(text: bytes, at: int, limit: int) -> list[tuple[int, int]]:
-    """Places of up to ``limit`` words that end before ``at``, the nearest first."""
-    out = []
-    while len(out) < limit:
-        while at > 0 and text[at - 1] in BLANKS:
-            at -= 1
-        if at == 0:
-            break
-        end = at
-        while at > 0 and text[at - 1] not in BLANKS:
-            at -= 1
-        out.append((at, end))
-    return out
-
-
-def _after(text: bytes, at: int, limit: int) -> list[tuple[int, int]]:
-    """Places of up to ``limit`` words that begin at ``at`` or later, the nearest first."""
-    out, size = [], len(text)
-    while len(out) < limit:
-        while at < size and text[at] in BLANKS:
-            at += 1
-        if at == size:
-            break
-        start = at
-        while at < size and text[at] not in BLANKS:
-            at += 1
-        out.append((start, at))
-    return out
-
-
-def _hashed(text: bytes, places: list[tuple[int, int]]) -> bytes:
-    """Four bytes for each word."""
-    return b"".join(xxhash.xxh32_digest(text[a:b].lower()) for a, b in places)
-
-
-def _surroundings(text: bytes, hits: list[dict]) -> Iterator[tuple]:
-    """(digest, start, left, right) of the units that a row keeps, with start -1, and of those
-    near the ends of what it loses, where only the sides that may grow are given."""
-    runs: list[list[dict]] = []
-    reached = -1
-    for hit in hits:
-        if hit["stays"]:
-            yield (
-                hit["digest"], -1, _hashed(text, _before(text, hit["start"], REACH)),
-                _hashed(text, _after(text, hit["end"], REACH)),
-            )
-        elif runs and hit["start"] <= reached + 1:
-            runs[-1].append(hit)
-            reached = max(reached, hit["end"])
-        else:
-            runs.append([hit])
-            reached = hit["end"]
-    for run in runs:
-        low, high = run[0]["start"], max(h["end"] for h in run)
-        first = _after(text, low, REACH)[-1][1]
-        last = _before(text, high, REACH)[-1][0]
-        for hit in run:
-            left = _before(text, hit["start"], REACH) if hit["start"] < first else []
-            right = _after(text, hit["end"], REACH) if hit["end"] > last else []
-            if left or right:
-                yield hit["digest"], hit["start"], _hashed(text, left), _hashed(text, right)
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """How many words are equal from the start."""
-    n = 0
-    while a[n : n + 4] and a[n : n + 4] == b[n : n + 4]:
-        n += 4
-    return n // 4
-
-
-def _grown(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """(row, start, before, after): by how many words removed units grow at either side."""
-    keeper = hits.filter("stays").groupBy("digest").agg(
-        F.min(F.struct("row", "start")).alias("at")
-    ).select("digest", F.col("at.row").alias("row"), F.col("at.start").alias("start"))
-    end = F.struct("start", "end", "digest", "stays")
-    firsts = keeper.join(
-        hits.filter("stays").select("digest", "row", "start", "end", "stays"),
-        ["digest", "row", "start"],
+def _beside(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (row, at, side, own, d1, d2) with the hashes of up to REACH words before (side 0)
+    or from (side 1) word ``at`` of the row, the nearest first; no word is 0."""
+    lists = asked.groupBy("row").agg(
+        F.collect_list(F.struct("at", "side", "own", "d1", "d2")).alias("asked")
     )
-    asked = (
-        hits.filter("NOT stays").select("row", end.alias("h"))
-        .unionByName(firsts.select("row", end.alias("h")))
-        .groupBy("row").agg(F.array_sort(F.collect_list("h")).alias("hits"))
-    )
 
-    def read(batches: Iterator[pa.RecordBatch]):
+    def run(batches: Iterator[pa.RecordBatch]):
+        own = Cutter()
+        steps = np.arange(REACH)
         for batch in slices(batches):
-            texts = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"").to_pylist()
-            rows_, found = batch.column("row").to_pylist(), []
-            for row, text, own in zip(rows_, texts, batch.column("hits").to_pylist()):
-                found += [(row, *f) for f in _surroundings(text, own)]
-            columns = list(zip(*found)) or [[]] * 5
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            words = own.words(batch.column("text"))
+            short = np.maximum((words.hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), 1)
+            lists = batch.column("asked")
+            of = np.repeat(
+                np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            )
+            flat = lists.flatten()
+            at, side = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            low, high = words.first[of], (words.first + words.counts)[of]
+            place = (at + low)[:, None] + np.where(side[:, None] == 1, steps, -1 - steps)
+            there = (place >= low[:, None]) & (place < high[:, None])
+            padded = np.append(short, np.uint32(0))
+            found = padded[np.where(there, place, len(short))]
+            ends = np.arange(len(of) + 1, dtype=np.int32) * (4 * REACH)
+            beside = pa.BinaryArray.from_buffers(
+                pa.binary(), len(of),
+                [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(found).tobytes())],
+            )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                names=["row", "digest", "start", "left", "right"],
+                [batch.column("row").take(pa.array(of)), *(flat.field(i) for i in range(5)), beside],
+                names=["row", "at", "side", "own", "d1", "d2", "beside"],
             )
 
-    around = materialize(
-        rows.select("row", "text").join(asked.hint("merge"), "row").mapInArrow(
-            read, "row long, digest binary, start int, left binary, right binary"
-        ),
-        "surroundings",
-    )
-    kept = around.filter("start < 0").select(
-        "digest", F.col("left").alias("keep_left"), F.col("right").alias("keep_right")
-    )
+    joined = rows.select("row", "text").join(lists.hint("merge"), "row")
+    return joined.mapInArrow(run, BESIDE)
 
-    def compare(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            own = {n: batch.column(n).to_pylist() for n in ("left", "right", "keep_left", "keep_right")}
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("start"),
-                 pa.array([_common(*p) for p in zip(own["left"], own["keep_left"])], pa.int32()),
-                 pa.array([_common(*p) for p in zip(own["right"], own["keep_right"])], pa.int32())],
-                names=["row", "start", "before", "after"],
-            )
 
-    return (
-        around.filter("start >= 0").join(kept.hint("merge"), "digest")
-        .mapInArrow(compare, "row long, start int, before int, after int")
-        .filter("before + after > 0")
-    )
+def _equal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, at, side, n): by how many words a run's side and its keeper's agree."""
+    for batch in batches:
+        own, keeper = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, REACH)
+            for c in ("beside", "kept")
+        )
+        equal = (own == keeper) & (own > 0)
+        n = np.logical_and.accumulate(equal, axis=1).sum(axis=1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("row", "at", "side")), pa.array(n)],
+            names=["row", "at", "side", "n"],
+        )
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """(row, spans): what each row (row, doc_id, text) loses; byte places in its original text,
-    and by how many words these grow."""
-    known = materialize(repeated(_units(rows, True).select("doc_id", "digest")), "repeated-units")
-    hits = materialize(
-        _units(rows, True).join(known.hint("merge"), "digest").select(
-            "row", "start", "end", "digest", "keep_id",
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"),
-        ),
-        "unit-places",
+    """(row, spans): what each row (row, doc_id, text) loses, as (start, end, keep_ids) in words;
+    ``keep_ids`` are the documents that keep what the span holds."""
+    found = materialize(units(rows), "passage-units")
+    first, later = repeats(found)
+    joined = materialize(runs(later), "repeated-runs")
+    keys = ["d1", "d2"]
+    ends = [("left", "lo", 0, F.col("start")), ("right", "hi", 1, F.col("start") + F.col("size"))]
+    asked = None
+    for name, at, side, keeper_at in ends:
+        side = F.lit(side).alias("side")
+        own = joined.select("row", F.col(at).alias("at"), side, F.lit(True).alias("own"), f"{name}.d1", f"{name}.d2")
+        used = own.select(*keys).distinct()
+        kept = first.join(used.hint("merge"), keys).select(
+            "row", keeper_at.alias("at"), side, F.lit(False).alias("own"), *keys
+        )
+        asked = own.unionAll(kept) if asked is None else asked.unionAll(own).unionAll(kept)
+    around = materialize(_beside(rows, asked), "surroundings")
+    kept = around.filter("NOT own").select(*keys, "side", F.col("beside").alias("kept"))
+    grown = materialize(
+        around.filter("own").join(kept.hint("merge"), [*keys, "side"])
+        .select("row", "at", "side", "beside", "kept")
+        .mapInArrow(_equal_words, "row long, at int, side int, n int").filter("n > 0"),
+        "grown-runs",
     )
-    grown = materialize(_grown(rows, hits), "grown-units")
-    loss = [F.coalesce(n, F.lit(0)).alias(n) for n in ("before", "after")]
-    return (
-        hits.filter("NOT stays").join(grown.hint("merge"), ["row", "start"], "left")
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "keep_id", *loss)))
-             .alias("spans"))
+    more = [
+        grown.filter(F.col("side") == side).select("row", F.col("at").alias(at), F.col("n").alias(f"n{side}"))
+        for _, at, side, _ in ends
+    ]
+    spans = (
+        joined.join(more[0].hint("merge"), ["row", "lo"], "left")
+        .join(more[1].hint("merge"), ["row", "hi"], "left")
+        .select(
+            "row",
+            F.struct(
+                (F.col("lo") - F.coalesce("n0", F.lit(0))).alias("start"),
+                (F.col("hi") + F.coalesce("n1", F.lit(0))).alias("end"),
+                "keep_ids",
+            ).alias("span"),
+        )
     )
-
-
-def _places(spans: list[dict] | None, text: bytes | None) -> list[dict]:
-    """``spans`` with the words by which they grow, in order."""
-    out = []
-    for span in spans or []:
-        start, end = span["start"], span["end"]
-        if span["before"]:
-            start = _before(text, start, span["before"])[-1][0]
-        if span["after"]:
-            end = _after(text, end, span["after"])[-1][1]
-        out.append({"start": start, "end": end, "keep_id": span["keep_id"]})
-    return sorted(out, key=lambda s: (s["start"], s["end"]))
+    return spans.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 
 def _merged(spans: list[dict], text: bytes) -> list[tuple[int, int]]:
@@ -356,10 +280,8 @@ def _merged(spans: list[dict], text: bytes) -> list[tuple[int, int]]:
     return [tuple(c) for c in out]
 
 
-def _cut(text: bytes | None, spans: list[dict]) -> tuple[bytes | None, int]:
+def _cut(text: bytes, spans: list[dict]) -> tuple[bytes, int]:
     """(text without the spans, characters removed)."""
-    if text is None or not spans:
-        return text, 0
     kept, at, removed = [], 0, 0
     for start, end in _merged(spans, text):
         kept.append(text[at:start])
@@ -368,40 +290,63 @@ def _cut(text: bytes | None, spans: list[dict]) -> tuple[bytes | None, int]:
     return b"".join([*kept, text[at:]]), removed
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, spans: str = "_spans", removed: str = "_removed") -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, and what was cut from each row. ``docs`` is a
     table read from files, so that its rows are numbered alike whenever it is read.
 
-    Columns added: ``_spans`` (byte places in the original text), ``_removed`` (characters).
+    Columns added under the names given, which ``docs`` must not have: ``spans`` (byte places in
+    the original text, and who keeps what went) and ``removed`` (characters).
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    for name in (spans, removed):
+        if free_name(name, docs.columns) != name:
+            raise ValueError(f"docs has a column {name}: give another name for the added one")
+    key = free_name("row", docs.columns)
+    numbered = docs.withColumn(key, F.monotonically_increasing_id())
     rows = numbered.select(
-        F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+        F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     lost = materialize(removals(rows), "removals").select(
-        F.col("row").alias("_row"), F.col("spans").alias("_spans")
+        F.col("row").alias(key), F.col("spans").alias(spans)
     )
     # Spans grow with the corpus: they are not for a broadcast at any size.
-    joined = numbered.join(lost.hint("merge"), "_row", "left").drop("_row")
-    place, last = joined.columns.index("text"), joined.columns.index("_spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("keep_id", pa.int64())])
+    joined = numbered.join(lost.hint("merge"), key, "left").select(*docs.columns, spans)
+    place = docs.columns.index("text")
+    schema = T.StructType(
+        [*docs.schema.fields, T.StructField(spans, T.ArrayType(SPAN)), T.StructField(removed, T.LongType())]
+    )
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("keep_ids", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]):
+        own = Cutter()
         for batch in slices(batches):
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            spans = [_places(s, t) for s, t in zip(batch.column("_spans").to_pylist(), texts)]
-            found = [_cut(t, s) for t, s in zip(texts, spans)]
-            columns = list(batch.columns)
-            kept = pa.array([t for t, _ in found], pa.large_binary())
-            columns[place] = kept.cast(pa.large_string()).cast(batch.schema.field(place).type)
-            columns[last] = pa.array(spans, pa.list_(span))
-            removed = pa.array([n for _, n in found], pa.int64())
+            lists = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column("text")
+            out, places, counts = texts, [[] for _ in lists], np.zeros(len(lists), np.int64)
+            hit = [i for i, s in enumerate(lists) if s]
+            if hit:
+                chosen = texts.take(pa.array(hit))
+                words = own.words(chosen)
+                raw = chosen.cast(pa.large_binary()).to_pylist()
+                whole = texts.cast(pa.large_binary()).to_pylist()
+                for n, i in enumerate(hit):
+                    first, base = int(words.first[n]), int(words.offsets[n])
+                    places[i] = [
+                        {
+                            "start": int(words.starts[first + s["start"]]) - base,
+                            "end": int(words.ends[first + s["end"] - 1]) - base,
+                            "keep_ids": s["keep_ids"],
+                        }
+                        for s in lists[i]
+                    ]
+                    whole[i], counts[i] = _cut(raw[n], places[i])
+                out = pa.array(whole, pa.large_binary()).cast(pa.large_string()).cast(texts.type)
+            columns = list(batch.columns[:-1])
+            columns[place] = out
             yield pa.RecordBatch.from_arrays(
-                [*columns, removed], names=[*batch.schema.names, "_removed"]
+                [*columns, pa.array(places, kind), pa.array(counts)], names=schema.names
             )
 
-    return joined.mapInArrow(run, f"{schema}, _spans array<struct<{SPAN}>>, _removed long")
+    return joined.mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -412,5 +357,5 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.col("_removed").alias("n_removed_chars"),
         F.col("_spans").alias("spans"),
-        F.array_distinct(F.transform("_spans", lambda s: s["keep_id"])).alias("keep_ids"),
+        F.array_distinct(F.flatten(F.col("_spans.keep_ids"))).alias("keep_ids"),
     )

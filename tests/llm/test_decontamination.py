@@ -97,7 +97,7 @@ def test_every_shared_span_leaves_a_common_fingerprint(span):
     pick = random.Random(span)
     powers = D.Powers(D.WORD_FACTOR)
     texts = [" ".join(pick.choices("abcdefgh", k=pick.randint(0, 60))) for _ in range(40)]
-    found = D.Words(pa.array(texts), powers)
+    found = D._words(pa.array(texts), powers)
     at, marks = D.winnow(found, span)
     kept = dict(zip(at.tolist(), marks.tolist()))
     by_window = {}

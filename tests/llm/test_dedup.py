@@ -113,10 +113,14 @@ def test_every_shared_passage_of_fifty_words_is_cut(spark):
             assert p not in own.text.lower() and own.n_removed_chars > 0.3 * len(p)
 
 
-def test_own_repeats_and_clean_documents_stay(spark):
-    rows = [(1, "again " * 300), (2, words(300, 11) + "\n" + words(300, 11)), (3, words(400, 12))]
-    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
-    assert got == dict(rows)
+def test_own_repeats_go_and_clean_documents_stay(spark):
+    twice = words(300, 11)
+    rows = [(1, words(400, 12)), (2, twice + "\n" + twice), (3, "one two three " * 100)]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[1].spans == []
+    assert got[2].text == twice + "\n" and got[2].keep_ids == [2]
+    # A periodic text keeps its first period.
+    assert got[3].text.split() == ["one", "two", "three"]
 
 
 def test_cleaned_keeps_all_columns_and_rows(spark):
@@ -127,14 +131,40 @@ def test_cleaned_keeps_all_columns_and_rows(spark):
     assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
 
 
+def test_clashing_names_are_kept_or_refused(spark):
+    docs = table(spark, [(1, words(60, 1)), (2, words(60, 1))]).selectExpr("*", "7 AS _spans", "8 AS `Row`")
+    with pytest.raises(ValueError, match="_spans"):
+        substring_dedup.cleaned(docs)
+    done = substring_dedup.cleaned(docs, spans="cuts", removed="lost")
+    assert done.columns == [*docs.columns, "cuts", "lost"]
+    assert [(r._spans, r.Row, r.text) for r in done.orderBy("doc_id").collect()] == [
+        (7, 8, words(60, 1)), (7, 8, "")
+    ]
+
+
 def test_units_are_found_in_plain_python(spark):
-    """Digests are equal exactly where the 20 words are."""
-    seen = {}
-    raw = {i: (t or "").encode() for i, t in awkward() if i not in (4, None)}
-    for r in substring_dedup.units(table(spark)).collect():
-        if r.doc_id in raw:
-            unit = raw[r.doc_id][r.start : r.end]
-            assert b"\n" not in unit and len(unit.split()) == substring_dedup.UNIT_WORDS
-            value = b" ".join(unit.lower().split())
-            assert seen.setdefault(bytes(r.digest), value) == value
+    """Digests are equal exactly where the words are; lines and paragraphs are among the units."""
+    texts = [(i or "").split() for _, i in awkward()]
+    docs = spark.createDataFrame(
+        [(n, i, t) for n, (i, t) in enumerate(awkward())], "row long, doc_id long, text string"
+    )
+    seen, found = {}, set()
+    for r in substring_dedup.units(docs).collect():
+        unit = tuple(w.lower() for w in texts[r.row][r.start : r.start + r.size])
+        assert len(unit) == r.size >= substring_dedup.UNIT_WORDS
+        assert seen.setdefault((r.d1, r.d2), unit) == unit
+        found.add((r.row, r.start, r.size))
     assert len(set(seen.values())) == len(seen) > 50
+    for n, (_, text) in enumerate(awkward()):
+        at, paragraph = 0, []
+        for line in [*(text or "").split("\n"), ""]:
+            size = len(line.split())
+            if size >= substring_dedup.UNIT_WORDS:
+                assert (n, at, size) in found
+            if not size and paragraph:
+                if sum(paragraph) >= substring_dedup.UNIT_WORDS:
+                    assert (n, at - sum(paragraph), sum(paragraph)) in found
+                paragraph = []
+            elif size:
+                paragraph.append(size)
+            at += size
