@@ -93,15 +93,27 @@ def restored(differences: np.ndarray) -> np.ndarray:
     return np.cumsum(differences, dtype=np.uint32)
 
 
-@lru_cache(maxsize=1)
-def _settled() -> np.ndarray:
-    """Code points that have had their general category since Unicode 3.2. For all of these the
+class Settled:
+    """Which code points have had their general category since Unicode 3.2. For all of these the
     boundaries found by classes are those of any tokenizer library; texts with others are given
-    to the library whole."""
-    old = unicodedata.ucd_3_2_0
-    return np.fromiter(
-        (unicodedata.category(chr(c)) == old.category(chr(c)) for c in range(0x110000)), bool, 0x110000
-    )
+    to the library whole. Code points are looked up when they are first met."""
+
+    UNKNOWN = 2
+
+    def __init__(self):
+        self.known = np.full(0x110000, self.UNKNOWN, np.uint8)
+        self.known[:0x80] = 1
+
+    def odd(self, codes: np.ndarray) -> np.ndarray:
+        """Where code points stand that are not settled."""
+        state = self.known[codes]
+        new = codes[state == self.UNKNOWN]
+        if len(new):
+            for c in set(new.tolist()):
+                same = unicodedata.category(chr(c)) == unicodedata.ucd_3_2_0.category(chr(c))
+                self.known[c] = same
+            state = self.known[codes]
+        return np.flatnonzero(state == 0)
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -132,14 +144,13 @@ class SideA:
             if all(c in signs for c in entry):
                 said[i] = bytes(signs[c] for c in entry)
         self.bytes, self.sizes = _table(said)
-        self.memo = Memo(self._encode, 1)
+        self.memo, self.settled = Memo(self._encode, 1), Settled()
 
     def _encode(self, parts: list[bytes]) -> list[tuple[bytes]]:
         found = self.file.encode_batch([p.decode() for p in parts], add_special_tokens=False)
         return [(np.array(f.ids, np.uint32).tobytes(),) for f in found]
 
-    @staticmethod
-    def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where parts begin that are encoded apart."""
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -147,7 +158,7 @@ class SideA:
         opening = np.searchsorted(lead, offsets[:-1][np.diff(offsets) > 0])
         first[opening] = True
         start = boundaries(codes, first)
-        odd = np.flatnonzero(~_settled()[codes])
+        odd = self.settled.odd(codes)
         if len(odd):
             text = np.cumsum(first) - 1
             whole = np.zeros(int(text[-1]) + 1, bool)
@@ -243,22 +254,24 @@ class Aligner:
         a, text_a = a[given[text_a]], text_a[given[text_a]]
         b, text_b = b[given[text_b]], text_b[given[text_b]]
         end_a, end_b = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        either = np.union1d(end_a, end_b)
+        # Ends marked on the bytes: how many lie before a byte numbers tokens and groups.
+        ends = np.zeros((2, len(data) + 1), bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        both, either = np.flatnonzero(ends[0] & ends[1]), np.flatnonzero(ends[0] | ends[1])
+        upto_a, upto_b = np.cumsum(ends[0], dtype=np.int32), np.cumsum(ends[1], dtype=np.int32)
         link_text = np.searchsorted(offsets, either, side="left") - 1
         group_text = np.searchsorted(offsets, both, side="left") - 1
         figures = [np.bincount(t, minlength=n) for t in (text_a, text_b, group_text, link_text)]
-        return Aligned(
-            figures, self._groups(a, b, end_a, end_b, both, figures[0] + figures[1]), link_text,
-            a[np.searchsorted(end_a, either)], b[np.searchsorted(end_b, either)],
-        )
-
-    def _groups(self, a, b, end_a, end_b, both, tokens) -> list[str]:
-        """Per text SHA-256 of its groups' ids in decimals."""
-        upto_a = np.searchsorted(end_a, both, side="right")
-        upto_b = np.searchsorted(end_b, both, side="right")
-        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        before_b = np.concatenate([[0], upto_b[:-1]]) if len(both) else upto_b
+        sides = (a, upto_a[both]), (b, upto_b[both])
+        groups = self._groups(*sides[0], *sides[1], figures[0] + figures[1])
+        return Aligned(figures, groups, link_text, a[upto_a[either - 1]], b[upto_b[either - 1]])
+
+    def _groups(self, a, upto_a, b, upto_b, tokens) -> list[str]:
+        """Per text SHA-256 of its groups' ids in decimals; ``upto``: tokens up to each group's
+        end."""
+        group_a = np.repeat(np.arange(len(upto_a)), np.diff(upto_a, prepend=0))
+        group_b = np.repeat(np.arange(len(upto_b)), np.diff(upto_b, prepend=0))
+        before_b = np.concatenate([[0], upto_b[:-1]]) if len(upto_b) else upto_b
         signs = np.zeros(len(a) + len(b), np.int64)
         signs[np.arange(len(a)) + before_b[group_a]] = a.astype(np.int64) * 3
         signs[np.arange(len(b)) + upto_a[group_b]] = b.astype(np.int64) * 3
@@ -324,10 +337,11 @@ class Run:
         base = len(self.docs)
         pair = self.radix.pairs(found.link_a, found.link_b)
         key = (pair << np.uint64(32)) | (found.link_text + base).astype(np.uint64)
-        keys, links = np.unique(key, return_counts=True)
-        self.keys.append(keys)
-        self.links.append(links)
-        self.records += len(keys)
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, int)
+        self.keys.append(key[first])
+        self.links.append(np.diff(np.append(first, len(key))))
+        self.records += len(first)
         figures = zip(ids, *[f.tolist() for f in found.figures], found.groups)
         self.docs += [dict(zip(("doc_id", *FIGURES, "groups_sha256"), f)) for f in figures]
 
