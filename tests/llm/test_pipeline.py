@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from labelspark.llm.simhash import fingerprint
 from tests.llm.data import SCHEMA, words
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -63,6 +64,38 @@ def test_stages_take_effect(spark, planted):
     assert sorted(map(key, whole)) == sorted(map(key, packed))
 
 
+def test_columns_named_like_those_of_the_stages_stay(spark, planted, tmp_path):
+    folder = planted[0]
+    names = ("row", "Row_id", "toxic_score", "cut_spans", "cut_chars", "_spans", "kept", "id", "root")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 300 OR doc_id >= 3000")
+    docs = docs.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(str(tmp_path / f"in-{name}"))
+        docs = stage(spark, spark.read.parquet(str(tmp_path / f"in-{name}")), folder)
+    rows = docs.collect()
+    assert docs.columns[-len(names) :] == list(names) and len(rows) > 150
+    assert all(r[n] == n for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= len(rows)
+
+
+def test_simhash_stage_links_at_three_bits(spark, tmp_path):
+    """Groups are those of all pairs of fingerprints, chains included."""
+    base = words(400, 3).split()
+    rows = [(i, " ".join(base[: 400 - i] + base[:i])) for i in range(12)] + [(50, None), (51, ""), (60, words(50, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    marks = {i: fingerprint((t or "").encode()) for i, t in rows}
+    root = {i: i for i in marks}
+    for _ in rows:
+        for a in marks:
+            for b in marks:
+                if bin(marks[a] ^ marks[b]).count("1") <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == set(root.values()) and len(got) < len(rows) - 3
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -71,16 +104,20 @@ def test_no_documents(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["op3_license_scan", "op4_exact_dedup", "op5_line_dedup"])
+@pytest.mark.parametrize("name", [
+    "op3_license_scan", "op4_exact_dedup", "op5_line_dedup", "op11_benchmark_decontamination",
+    "op12_conversation_trie",
+])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     want = con.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     got = entry.queries()[name](spark, SF_DIR).select(*columns).collect()
