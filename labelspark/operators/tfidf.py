@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelspark.functions import text as T
 from labelspark.functions.stopwords import ENGLISH
-from labelspark.session import materialize
+from labelspark.session import materialize, spread_partitions
 
 
 @dataclass(frozen=True)
@@ -48,12 +48,23 @@ def gram_lists(instances: DataFrame, profile: TextProfile) -> DataFrame:
 
 
 def terms(instances: DataFrame, profile: TextProfile) -> DataFrame:
-    """(instance_id, term): one row per n-gram occurrence."""
-    return gram_lists(instances, profile).select("instance_id", F.explode("grams").alias("term"))
+    """(instance_id, term): one row per n-gram occurrence.
+
+    Texts are placed by ``instance_id`` first, over tasks enough for the n-grams made of them;
+    whatever groups by instance afterwards moves nothing more. In front of a plain ``explode``
+    Spark puts a filter that repeats the whole n-gram expression, hence the outer form.
+    """
+    texts = instances.select("instance_id", "overview")
+    placed = texts.repartition(spread_partitions(texts), "instance_id")
+    return (
+        gram_lists(placed, profile)
+        .select("instance_id", F.explode_outer("grams").alias("term"))
+        .filter(F.col("term").isNotNull())
+    )
 
 
 def term_counts(instances: DataFrame, profile: TextProfile) -> DataFrame:
-    """(instance_id, term, tf); what moves is terms, combined before, not texts."""
+    """(instance_id, term, tf), counted where the texts are placed."""
     return (
         terms(instances, profile)
         .groupBy("instance_id", "term")
@@ -62,17 +73,12 @@ def term_counts(instances: DataFrame, profile: TextProfile) -> DataFrame:
 
 
 def corpus_counts(instances: DataFrame, profile: TextProfile) -> DataFrame:
-    """(term, df, cf). An instance is one row, so its distinct terms are known there: both
-    counts are partial sums and texts do not move."""
-    marked = lambda column, once: F.transform(
-        column, lambda g: F.struct(g.alias("term"), F.lit(once).alias("once"))
-    )
-    both = F.concat(marked("grams", 0), marked(F.array_distinct("grams"), 1))
+    """(term, df, cf): instances that hold a term, and its occurrences, from the counts per
+    instance."""
     return (
-        gram_lists(instances, profile)
-        .select(F.inline(both))
+        term_counts(instances, profile)
         .groupBy("term")
-        .agg(F.sum("once").alias("df"), F.count_if(F.col("once") == 0).alias("cf"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     )
 
 
@@ -132,9 +138,9 @@ def fit_vocabulary(instances: DataFrame, profile: TextProfile) -> DataFrame:
 def weights(instances: DataFrame, vocabulary: DataFrame, profile: TextProfile) -> DataFrame:
     """(instance_id, term, term_id, rarity, tf, weight): L2-normalised TF-IDF, known terms only.
 
-    Terms meet the vocabulary before anything moves, so the one shuffle by ``instance_id``
-    carries known terms, no texts; grouping and norm use its placement. Instances without a
-    known term have no rows.
+    The one shuffle places the texts by ``instance_id``; grouping and norm use its placement, as
+    the vocabulary is small enough for a broadcast unless ``max_features`` is raised far beyond
+    it. Instances without a known term have no rows.
     """
     tf = F.col("tf").cast("double")
     raw = ((1 + F.log(tf)) if profile.sublinear_tf else tf) * F.col("idf")
@@ -142,7 +148,6 @@ def weights(instances: DataFrame, vocabulary: DataFrame, profile: TextProfile) -
     return (
         terms(instances, profile)
         .join(vocabulary.select("term", "term_id", "rarity", "idf"), "term")
-        .repartition("instance_id")
         .groupBy("instance_id", "term", "term_id", "rarity", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("raw", raw)

@@ -45,3 +45,17 @@ def work_partitions(spark: SparkSession) -> int:
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         spark.sparkContext.defaultParallelism,
     )
+
+
+# Bytes of input per task for steps that make many rows of one, such as n-grams of texts.
+TASK_BYTES = 64 << 20
+# Sizes from here on say that Catalyst does not know the size.
+_UNKNOWN_BYTES = 1 << 60
+
+
+def spread_partitions(df: DataFrame) -> int:
+    """Partitions for such steps: by the bytes that Catalyst expects of ``df``, and one per core
+    at least. Files with few row groups would otherwise be the work of few tasks."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = work_partitions(df.sparkSession)
+    return least if size >= _UNKNOWN_BYTES else max(least, -(-size // TASK_BYTES))

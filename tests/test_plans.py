@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from labelspark.plans import registry
+from labelspark.operators import tfidf
+from labelspark.plans import inputs, registry
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -28,22 +29,52 @@ def test_no_cross_join_and_no_python(spark, name):
         assert operator not in plan
 
 
-@pytest.mark.parametrize("name", ["tokens", "vocabulary", "tfidf_weights", "ngrams"])
-def test_texts_are_not_shuffled(spark, name):
-    """No exchange carries the text column; the vocabulary is no top-n of one task."""
-    query = registry.QUERIES[name](spark, SF_DIR)
-    plan = query._jdf.queryExecution().executedPlan()
-    found, todo = [], [plan]
+def _nodes(query, executed):
+    """All nodes of the physical (or optimized logical) plan."""
+    execution = query._jdf.queryExecution()
+    todo = [execution.executedPlan() if executed else execution.optimizedPlan()]
     while todo:
         node = todo.pop()
         if node.nodeName() == "AdaptiveSparkPlan":
             todo.append(node.executedPlan())
             continue
-        if "Exchange" in node.nodeName():
-            found.append(node.output().mkString(","))
+        yield node
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
-    assert not any("overview" in f or "text" in f for f in found)
+
+
+def _n_grams(spark, name):
+    docs = inputs.documents(spark, SF_DIR)
+    return {
+        "terms": lambda: tfidf.terms(docs, tfidf.FEATURES),
+        "counts": lambda: tfidf.corpus_counts(docs, tfidf.NEAR_DUPLICATES),
+        "weights": lambda: tfidf.weights(
+            docs, spark.createDataFrame([("a", 0, 1, 1.0)], "term string, term_id int, rarity int, idf double"),
+            tfidf.FEATURES,
+        ),
+    }[name]()
+
+
+@pytest.mark.parametrize("name", ["terms", "counts", "weights"])
+def test_texts_move_once_and_are_cut_once(spark, name):
+    """One exchange carries texts; what n-grams are made of is no part of any filter."""
+    query = _n_grams(spark, name)
+    moved = [n for n in _nodes(query, True) if "Exchange" in n.nodeName() and "overview" in n.output().mkString(",")]
+    assert len(moved) == 1
+    optimized = [n for n in _nodes(query, False)]
+    said = [n.simpleString(100_000) for n in optimized]
+    assert sum(line.count("regexp_extract_all") for line in said) == 1
+    assert not any("transform(" in line or "regexp_extract_all" in line for line in said if line.startswith("Filter"))
+
+
+@pytest.mark.parametrize("name", ["terms", "counts", "weights"])
+def test_n_grams_use_every_core(spark, name):
+    """A file of one row group is no reason for one task."""
+    placed = [
+        n for n in _nodes(_n_grams(spark, name), True)
+        if "Exchange" in n.nodeName() and "overview" in n.output().mkString(",")
+    ]
+    assert placed[0].outputPartitioning().numPartitions() >= spark.sparkContext.defaultParallelism
 
 
 def test_scans_read_only_needed_columns(spark):
