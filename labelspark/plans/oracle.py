@@ -340,6 +340,10 @@ near_pairs AS (
 SQL["near_duplicates"] = f"""WITH {NEAR}
 SELECT instance_a, instance_b, round(similarity, 6) AS similarity, CAST(n_pairs AS BIGINT) AS n_pairs
 FROM near_pairs"""
+SQL["near_duplicates_by_bands"] = f"""WITH {NEAR}
+SELECT threshold, count(*) FILTER (similarity >= threshold) AS n_exact, CAST(0 AS BIGINT) AS n_wrong,
+       true AS enough
+FROM near_pairs, (SELECT unnest([CAST(0.9 AS DOUBLE), 0.95, 1.0]) AS threshold) GROUP BY threshold"""
 SQL["near_duplicate_members"] = f"WITH {NEAR} SELECT rep, instance_id FROM groups"
 
 DUPLICATES = "(SELECT count(*) FROM v_doc) - (SELECT count(*) FROM (SELECT DISTINCT title, overview FROM v_doc))"
@@ -491,6 +495,9 @@ NEIGHBOUR_COLUMNS = "instance_id, neighbour_id, rank, round(distance2, 6) AS dis
 SQL["mlknn_neighbours"] = f"WITH {FITTED}, {NEAREST} SELECT {NEIGHBOUR_COLUMNS} FROM nearest"
 SQL["mlknn_train_neighbours"] = f"WITH {FITTED}, {OWN} SELECT {NEIGHBOUR_COLUMNS} FROM own"
 
+SQL["mlknn_neighbours_by_lists"] = f"""WITH {FITTED}, {NEAREST}
+SELECT count(*) AS n_neighbours, CAST(0 AS BIGINT) AS n_too_near, true AS enough FROM nearest"""
+
 SQL["embedding_neighbours"] = """WITH unit AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
          sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size

@@ -239,6 +239,25 @@ def near_duplicates(spark, sf_dir):
     return rounded(similarity.near_duplicates(inputs.documents(spark, sf_dir)), "similarity")
 
 
+@query
+def near_duplicates_by_bands(spark, sf_dir):
+    """Pairs proposed by hyperplane bands against the exact ones: per threshold how many there
+    are, how many proposed rows are wrong, and whether nine in ten are found."""
+    docs = inputs.documents(spark, sf_dir)
+    keys = ["instance_a", "instance_b"]
+    exact = similarity.near_duplicates(docs).select(*keys, F.col("similarity").alias("s"), F.col("n_pairs").alias("n"))
+    found = similarity.near_duplicates(docs, exact=False)
+    both = materialize(exact.join(found, keys, "full"), "bands-and-exact")
+    wrong = F.col("s").isNull() | (F.abs(F.col("s") - F.col("similarity")) > 1e-8) | (F.col("n") != F.col("n_pairs"))
+    marked = both.withColumn("threshold", F.explode(F.array(*map(F.lit, (0.9, 0.95, 1.0)))))
+    held = F.col("s") >= F.col("threshold")
+    return marked.groupBy("threshold").agg(
+        F.count_if(held).alias("n_exact"),
+        F.count_if(wrong & F.col("similarity").isNotNull()).alias("n_wrong"),
+        (F.count_if(held & F.col("similarity").isNotNull()) >= 0.9 * F.count_if(held)).alias("enough"),
+    )
+
+
 @query
 def near_duplicate_members(spark, sf_dir):
     return similarity.near_duplicate_members(inputs.documents(spark, sf_dir))
@@ -477,12 +496,12 @@ def one_class_scores(spark, sf_dir):
     return rows.withColumn("is_constant", F.col("is_constant").cast("int"))
 
 
-def _neighbours(prepared, of_train: bool):
+def _neighbours(prepared, of_train: bool, probes: int | None = None):
     part = prepared.train if of_train else prepared.validation
     weights = prepared.train_weights if of_train else prepared.validation_weights
     return neighbours.nearest_neighbours(
         part.select("instance_id"), weights,
-        prepared.train.select("instance_id"), prepared.train_weights, training.N_NEIGHBOURS,
+        prepared.train.select("instance_id"), prepared.train_weights, training.N_NEIGHBOURS, probes,
     )
 
 
@@ -496,6 +515,22 @@ def mlknn_train_neighbours(spark, sf_dir):
     return rounded(_neighbours(_prepared(spark, sf_dir), of_train=True), "distance2")
 
 
+@query
+def mlknn_neighbours_by_lists(spark, sf_dir):
+    """Neighbours found in the lists nearest to each query, against the exact ones: how many
+    there are, how many are nearer than is possible, and whether nine in ten are as near."""
+    prepared = _prepared(spark, sf_dir)
+    exact = _stored(_neighbours(prepared, of_train=False))
+    found = _stored(_neighbours(prepared, of_train=False, probes=neighbours.PROBES))
+    ranked = exact.select("instance_id", "rank", F.col("distance2").alias("nearest"))
+    last = exact.groupBy("instance_id").agg(F.max("distance2").alias("last"))
+    return ranked.join(found, ["instance_id", "rank"], "left").join(last, "instance_id").agg(
+        F.count("*").alias("n_neighbours"),
+        F.count_if(F.col("distance2") < F.col("nearest") - 1e-9).alias("n_too_near"),
+        (F.count_if(F.col("distance2") <= F.col("last") + 1e-9) >= 0.9 * F.count("*")).alias("enough"),
+    )
+
+
 @query
 def embedding_neighbours(spark, sf_dir):
     """Neighbours of every fiftieth dense vector among all of them."""

@@ -1,0 +1,101 @@
+"""Hyperplane bands and trained lists against all pairs of vectors."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from labelspark.operators import neighbours, projection, similarity, tfidf
+from labelspark.session import materialize
+from tests.test_similarity import PROFILE, _docs, _texts
+
+
+def _unit_vectors(seed, n, near):
+    """Sparse unit vectors; each of ``near`` others is close to an earlier one."""
+    pick = np.random.default_rng(seed)
+    dense = np.zeros((n + near, 60))
+    for i in range(n):
+        dense[i, pick.choice(60, 8, replace=False)] = pick.random(8) + 0.1
+    for i in range(n, n + near):
+        dense[i] = dense[pick.integers(0, n)]
+        dense[i, pick.integers(0, 60)] += pick.random() * 0.9
+    return dense / np.linalg.norm(dense, axis=1, keepdims=True)
+
+
+def _long(spark, dense):
+    rows = [(i, int(t) + 1, float(dense[i, t])) for i in range(len(dense)) for t in np.flatnonzero(dense[i])]
+    return spark.createDataFrame(rows, "rep long, rarity int, weight double")
+
+
+@pytest.mark.parametrize("split_rows", [5, 20_000])
+def test_bands_find_similar_vectors(spark, split_rows, monkeypatch):
+    monkeypatch.setattr(projection, "SPLIT_ROWS", split_rows)  # short lists in blocks
+    dense = _unit_vectors(4, 120, 80)
+    cosine = dense @ dense.T
+    entries = _long(spark, dense)
+    pairs = projection.candidates(entries, 0.9, seed=3)
+    found = {(r.a, r.b): r.similarity for r in similarity._verified(pairs, entries, 0.9).collect()}
+    want = {(i, j) for i in range(len(dense)) for j in range(i + 1, len(dense)) if cosine[i, j] >= 0.9}
+    assert set(found) <= want and len(found) >= 0.95 * len(want) > 40
+    assert all(found[p] == pytest.approx(cosine[p], abs=1e-8) for p in found)
+    # Most other pairs are never proposed.
+    assert pairs.count() < 0.1 * len(dense) ** 2 / 2
+
+
+def test_near_duplicates_by_bands_keep_copies_and_form(spark):
+    docs = _docs(spark, _texts(1, 60, copies=8) + ["", "??"])
+    exact = {tuple(r) for r in similarity.near_duplicates(docs, 0.95, PROFILE).collect()}
+    found = similarity.near_duplicates(docs, 0.95, PROFILE, exact=False)
+    assert found.columns == ["instance_a", "instance_b", "similarity", "n_pairs"]
+    got = {tuple(r) for r in found.collect()}
+    copies = {r for r in exact if r[0] == r[1]}
+    assert copies <= got <= exact and len(got) >= 0.9 * len(exact)
+    assert similarity.near_duplicates(_docs(spark, ["", "one"]), exact=False).count() == 0
+    for bad in (0, 1.5):
+        with pytest.raises(ValueError):
+            similarity.near_duplicates(docs, bad, exact=False)
+    with pytest.raises(ValueError):
+        projection.candidates(_long(spark, _unit_vectors(1, 3, 0)), 0.9, bits=40)
+
+
+def test_projection_is_a_product():
+    pick = np.random.default_rng(0)
+    towards = projection.directions(30, 5, 7)
+    rows = [sorted(pick.choice(30, pick.integers(0, 9), replace=False) + 1) for _ in range(200)]
+    weights = [pick.random(len(r)).tolist() for r in rows]
+    want = [sum((w * towards[t] for t, w in zip(r, ws)), np.zeros(5)) for r, ws in zip(rows, weights)]
+    arrays = pa.array(rows, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))
+    assert np.allclose(projection.project(*arrays, towards), want, atol=1e-5)
+    cut = [a.slice(50, 100) for a in arrays]
+    assert np.allclose(projection.project(*cut, towards), want[50:150], atol=1e-5)
+
+
+def test_probed_neighbours(spark, monkeypatch):
+    """All lists probed give the exact answer; few lists give most of it, visiting few tiles."""
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 10)
+    texts = [f"kind{g} kind{g} own{g} also{g} w{i % 5} v{i} common" for g in range(12) for i in range(10)]
+    train = _docs(spark, [*texts, "", "zebra"])
+    queries = _docs(spark, [f"kind{g} own{g} v3" for g in range(12)] + ["", "unheard"], start=1000)
+    vocabulary = materialize(tfidf.fit_vocabulary(train, PROFILE), "v")
+    sides = [materialize(tfidf.weights(d, vocabulary, PROFILE), "w") for d in (queries, train)]
+    args = (queries.select("instance_id"), sides[0], train.select("instance_id"), sides[1], 5)
+    exact = sorted(map(tuple, neighbours.nearest_neighbours(*args).collect()))
+    assert sorted(map(tuple, neighbours.nearest_neighbours(*args, probes=999).collect())) == exact
+    visited = []
+    real = neighbours._visit
+    monkeypatch.setattr(
+        neighbours, "_visit",
+        lambda visits, *rest: (visited.append(visits.count()), real(visits, *rest))[1],
+    )
+    few = sorted(map(tuple, neighbours.nearest_neighbours(*args, probes=4).collect()))
+    last = {}
+    for r in exact:
+        last[r[0]] = max(last.get(r[0], 0), r[3])
+    assert len(few) == len(exact) and sum(r[3] <= last[r[0]] + 1e-9 for r in few) >= 0.9 * len(exact)
+    assert 0 < sum(visited) <= 13 * 4 * 4
+    with pytest.raises(ValueError):
+        neighbours.nearest_neighbours(*args, probes=0)
+
+
+def test_lists_of_nothing(spark):
+    empty = spark.createDataFrame([], "rep long, terms array<int>, weights array<double>, lead int")
+    assert neighbours.probed_vectors(empty, empty, 3, 2).count() == 0
