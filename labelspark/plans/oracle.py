@@ -562,6 +562,7 @@ FROM best WHERE rank <= 3 GROUP BY 1"""
 SQL["br_optimum"] = f"""WITH {FITTED}, {PRIORS}
 SELECT CAST(label_id AS BIGINT) AS label_id, 1 AS at_optimum FROM train_label
 GROUP BY 1 HAVING count(*) < (SELECT count(*) FROM train)"""
+SQL["br_joint_optimum"] = SQL["br_optimum"]
 SQL["br_stored_model"] = f"""WITH {FITTED}, {PRIORS}
 SELECT (SELECT count(*) FROM observed) AS n_labels, 'binary_relevance' AS model_type,
        (SELECT count(*) FROM observed) * (SELECT count(*) FROM validation) AS n_scores,

@@ -437,6 +437,8 @@ def br_scores(spark, sf_dir):
 # stops on relative changes of the mean loss, so it ends near the optimum, not on it: slopes of
 # up to 0.0005 per row were measured at the default tolerance.
 GRADIENT_BOUND = 0.001
+# Largest slope left by the fit of all labels at once.
+JOINT_BOUND = 1e-4
 
 
 @query
@@ -454,6 +456,21 @@ def br_optimum(spark, sf_dir):
     )
 
 
+@query
+def br_joint_optimum(spark, sf_dir):
+    """As ``br_optimum`` for the fit of all labels at once, at a bound that does not grow with
+    the rows: weights are at most this far from the optimum."""
+    prepared = _prepared(spark, sf_dir)
+    model = training.train_binary_relevance(prepared, together=True)
+    slopes = binary_relevance.gradients(
+        prepared.train, prepared.train_weights, model.tables["label_models"],
+        model.tables["coefficients"],
+    )
+    return slopes.select(
+        "label_id", (F.col("largest") <= JOINT_BOUND).cast("int").alias("at_optimum")
+    )
+
+
 @query
 def mlknn_figures(spark, sf_dir):
     """The six figures of a trained ML-kNN on the validation rows."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelspark.operators import (
-    binary_relevance, cleaning, labelsets, metrics, mlknn, neighbours, split, tfidf,
+    binary_relevance, cleaning, joint_fit, labelsets, metrics, mlknn, neighbours, split, tfidf,
 )
 from labelspark.session import materialize
 from labelspark.sources import artifacts, runs
@@ -108,12 +108,19 @@ def with_truth(scored: DataFrame, instances: DataFrame) -> DataFrame:
 
 def train_binary_relevance(
     prepared: Prepared, c: float = binary_relevance.REGULARIZATION_C,
-    max_iter: int = binary_relevance.MAX_ITERATIONS,
+    max_iter: int = binary_relevance.MAX_ITERATIONS, together: bool = False,
 ) -> artifacts.Model:
+    """``together``: all labels share their passes over the rows (``joint_fit``), which pays with
+    many labels; else each label is a fit of its own, several side by side."""
     n_terms = prepared.vocabulary.count()
-    label_models, coefficients = binary_relevance.fit(
-        prepared.train, prepared.train_weights, prepared.labels, n_terms, c, max_iter
-    )
+    if together:
+        label_models, coefficients = joint_fit.fit_together(
+            prepared.train, prepared.train_weights, prepared.labels, n_terms, c, max_passes=max_iter
+        )
+    else:
+        label_models, coefficients = binary_relevance.fit(
+            prepared.train, prepared.train_weights, prepared.labels, n_terms, c, max_iter
+        )
     return artifacts.Model(
         BINARY_RELEVANCE, prepared.profile, {"C": c, "max_iter": max_iter},
         {
