@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import slices
-from labelspark.llm.words import WORD_FACTOR, Powers, Words, lowest_grams
+from labelspark.llm.words import WORD_FACTOR, WORDS_BYTES, Powers, Words, lowest_grams
 from labelspark.session import materialize
 
 SPAN = 10
@@ -64,7 +64,7 @@ def fingerprints(rows: DataFrame, spans: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             words = _words(batch.column("text"), powers)
             for span in spans:
                 at, found = winnow(words, span)
@@ -97,7 +97,7 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def classes(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             words = _words(batch.column("text"), powers)
             lowered = words.lowered()
             whole = [
@@ -119,7 +119,7 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def windows(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             words = _words(batch.column("text"), powers)
             lowered = words.lowered()
             for size in range(1, SPAN + 1):
@@ -146,7 +146,7 @@ def _candidate_windows(rows: DataFrame, hits: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         powers = Powers(WORD_FACTOR)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             words = _words(batch.column("text"), powers)
             n = batch.num_rows
             counts = pa.array(words.counts.astype(np.int64))

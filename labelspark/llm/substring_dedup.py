@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from labelspark.llm.common import free_name, slices
 from labelspark.llm.words import (
-    GRAM_FACTOR, SECOND_FACTOR, WORD_FACTOR, Powers, Words, lowest_grams, mixed,
+    GRAM_FACTOR, SECOND_FACTOR, WORD_FACTOR, WORDS_BYTES, Powers, Words, lowest_grams, mixed,
 )
 from labelspark.session import materialize
 
@@ -110,7 +110,7 @@ def units(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = Cutter()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             words = own.words(batch.column("text"))
             starts, sizes = own.units(words)
             text = words.text_of[starts]
@@ -178,7 +178,7 @@ def _beside(rows: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         own = Cutter()
         steps = np.arange(REACH)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             words = own.words(batch.column("text"))
             short = np.maximum((words.hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), 1)
             lists = batch.column("asked")
@@ -318,7 +318,7 @@ def cleaned(docs: DataFrame, spans: str = "_spans", removed: str = "_removed") -
 
     def run(batches: Iterator[pa.RecordBatch]):
         own = Cutter()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=WORDS_BYTES):
             lists = batch.column(batch.num_columns - 1).to_pylist()
             texts = batch.column("text")
             out, places, counts = texts, [[] for _ in lists], np.zeros(len(lists), np.int64)

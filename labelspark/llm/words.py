@@ -7,6 +7,10 @@ import pyarrow as pa
 
 from labelspark.llm.common import buffers
 
+# Texts are cut into words in runs of about this many bytes: arrays of words take some 60 bytes
+# per byte of text while they are made.
+WORDS_BYTES = 512 << 10
+
 # Odd multipliers of the rolling hashes.
 WORD_FACTOR = 0x9E3779B97F4A7C15
 GRAM_FACTOR = 0xC2B2AE3D27D4EB4F
@@ -25,7 +29,7 @@ class Powers:
 
     def up_to(self, n: int) -> list[np.ndarray]:
         if len(self.tables[0]) <= n:
-            size = max(2 * len(self.tables[0]), n + 1)
+            size = (n // 65_536 + 1) * 65_536 + 1
             self.tables = []
             for factor in self.factors:
                 steps = np.full(size, factor, np.uint64)
