@@ -304,6 +304,12 @@ split AS (SELECT instance_id, set_key, p // 5 > (p - 1) // 5 AS is_validation FR
 SQL["stratified_split"] = f"""WITH {SPLIT}
 SELECT instance_id, set_key, CAST(is_validation AS INTEGER) AS is_validation FROM split"""
 
+SQL["pair_split_shares"] = f"""WITH {DOC}, {GENRES}, {DOC_LABEL}
+SELECT CAST(x.label_id AS BIGINT) AS label_a, CAST(y.label_id AS BIGINT) AS label_b, count(*) AS n,
+       true AS within_one
+FROM v_doc_label x JOIN v_doc_label y ON x.instance_id = y.instance_id AND x.label_id <= y.label_id
+GROUP BY 1, 2"""
+
 FITTED = f"""{SPLIT},
 train AS (SELECT v_doc.* FROM v_doc JOIN split USING (instance_id) WHERE NOT is_validation),
 validation AS (SELECT v_doc.* FROM v_doc JOIN split USING (instance_id) WHERE is_validation),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelspark.operators import (
     association, binary_relevance, cleaning, contracts, dense, labelsets, metrics, mlknn,
-    neighbours, ranking, similarity, split, textprofile, tfidf, traffic,
+    neighbours, pair_split, ranking, similarity, split, textprofile, tfidf, traffic,
 )
 from labelspark.plans import inputs, prediction, profile, training
 from labelspark.session import materialize, new_path
@@ -418,6 +418,18 @@ def feature_shape(spark, sf_dir):
 # Split and models
 
 
+@query
+def pair_split_shares(spark, sf_dir):
+    """Every label and label pair of the split by pairs: how many rows, and whether its share of
+    validation rows is within one row of the target."""
+    docs = inputs.labelled_documents(spark, sf_dir)
+    parts = _stored(pair_split.second_order_split(docs, training.TEST_SIZE))
+    off = F.abs(F.col("n_validation") - F.lit(training.TEST_SIZE) * F.col("n"))
+    return pair_split.pair_shares(docs, parts).select(
+        F.col("a").alias("label_a"), F.col("b").alias("label_b"), "n", (off <= 1 + 1e-9).alias("within_one")
+    )
+
+
 @query
 def stratified_split(spark, sf_dir):
     rows = split.stratified_split(inputs.labelled_documents(spark, sf_dir))
