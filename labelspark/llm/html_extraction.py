@@ -13,8 +13,12 @@ a wrapper: it bars nothing that holds the page's main element, its article, its
 paragraphs, or most of its paragraphs. Of what is left the text of the
 largest ``article``, or else ``main``, or else the body is given, block by block.
 
-Parsing and hashing happen once, where the page lies; what goes on is the page's blocks of text
-with the hashes of the elements around them. Counts are partial sums, so one host or one
+Inside ``article`` and ``main`` a class has to name a box as a whole (``ad-slot``, not
+``related-work``), and none bars what is written there, such as paragraphs and quotations.
+
+Parsing and hashing happen once, where the page lies, in time that grows with the page's length
+whatever stands in it; what goes on is the page's blocks of text and its elements with their
+hashes and parents. Counts are partial sums, so one host or one
 subtree with a third of all pages is spread over tasks.
 
 Defined cases: null or empty html gives an empty text; a null or broken url is a host of its
@@ -25,12 +29,13 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import slices
@@ -88,16 +93,23 @@ COMMENT_WORDS = frozenset(
 )
 # Paragraphs of a page that are fewer characters than this say nothing about a wrapper.
 MIN_PARAGRAPHS = 200
+# Words that may stand beside a barred one in a class inside article or main: the class then
+# still names a box of that kind, not what a text is about.
+BOX_WORDS = frozenset(
+    "area articles bar block box buttons container content form group inline item items label "
+    "link links list panel posts section slot stories unit wrapper wrap".split()
+)
+# What is written, not a box: inside article and main no class bars it.
+WRITTEN = frozenset("blockquote code em figure h1 h2 h3 h4 h5 h6 p pre strong table".split())
+HEADINGS = frozenset(("h1", "h2", "h3"))
 WORDS = re.compile(r"[a-z0-9]+")
 ATTRIBUTE = re.compile(
     r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/]|$)",
     re.I,
 )
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)",
-    re.S,
-)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+RAW_ENDS = {tag: re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I) for tag in RAW}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -106,7 +118,26 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 OPEN, BOX, COMMENTS, SHUT = range(4)
 
 
-def _bar(tag: str, attributes: str) -> int:
+def _named(value: str) -> int:
+    """How class or id words bar a box outside article and main: any barred word does."""
+    words = WORDS.findall(value)
+    if BARRED_WORDS.isdisjoint(words):
+        return OPEN
+    return BOX if COMMENT_WORDS.isdisjoint(words) else COMMENTS
+
+
+def _named_inside(value: str) -> int:
+    """Inside article and main a whole name has to say so: it begins with a barred word and holds
+    others only for kinds of boxes."""
+    bar = OPEN
+    for name in value.split():
+        words = WORDS.findall(name)
+        if words and words[0] in BARRED_WORDS and all(w in BARRED_WORDS or w in BOX_WORDS for w in words):
+            bar = max(bar, BOX if COMMENT_WORDS.isdisjoint(words) else COMMENTS)
+    return bar
+
+
+def _bar(tag: str, attributes: str, inside: bool) -> int:
     if tag in BARRED_TAGS:
         return SHUT
     bar = BOX if tag == "form" else OPEN
@@ -115,10 +146,11 @@ def _bar(tag: str, attributes: str) -> int:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if tag not in ("body", "html", "article", "main") or "comment" in value:
-                words = WORDS.findall(value)
-                if not BARRED_WORDS.isdisjoint(words):
-                    bar = max(bar, BOX if COMMENT_WORDS.isdisjoint(words) else COMMENTS)
+            if inside:
+                if tag not in WRITTEN:
+                    bar = max(bar, _named_inside(value))
+            elif tag not in ("body", "html", "article", "main") or "comment" in value:
+                bar = max(bar, _named(value))
         elif name == "role" and value in BARRED_ROLES:
             return SHUT
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -128,225 +160,284 @@ def _bar(tag: str, attributes: str) -> int:
     return bar
 
 
+# Elements that are looked for below and above others, as bits.
+BITS = {"main": 1, "article": 2, "h1": 4}
+MAIN_PARTS = BITS["main"] | BITS["article"]
+
+
 class _Element:
-    __slots__ = ("tag", "bar", "barred", "inside", "parent", "digest", "size", "number", "has_h1")
+    """An open or closed element. What is said of the elements around or inside it is kept on it,
+    so that no chain of parents is walked for each block."""
+
+    __slots__ = (
+        "tag", "bar", "barred", "inside", "parent", "digest", "size", "heading", "closed", "shut",
+        "in_p", "told", "below", "above", "number",
+    )
 
     def __init__(self, tag: str, parent: _Element | None, bar: int):
         self.tag, self.parent, self.bar, self.barred = tag, parent, bar, False
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.digest = xxhash.xxh64(tag)
-        self.size, self.number, self.has_h1 = 0, -1, False
+        self.size, self.heading, self.closed = 0, False, False
+        self.shut = self.in_p = False
+        self.told = self.below = self.above = 0
+        self.number = -1
+
 
+def _settle(blocks: list[tuple[_Element, str]], elements: list[_Element], root: _Element) -> None:
+    """Open the boxes that are wrappers; what stands in a barred element is barred too.
 
-def _settle(blocks: list[tuple[_Element, str]], elements: list[_Element]) -> None:
-    """Open the boxes that are wrappers; what stands in a barred element is barred too."""
-    boxes = {id(e): 0 for e in elements if e.bar in (BOX, COMMENTS)}
-    if boxes:
-        shut: set[int] = set()
+    ``elements`` has inner ones first, so one way through hands down, the other sums up.
+    """
+    if any(e.bar in (BOX, COMMENTS) for e in elements):
         for e in reversed(elements):
-            if e.bar == SHUT or id(e.parent) in shut:
-                shut.add(id(e))
-        total = 0
+            e.shut = e.bar == SHUT or e.parent.shut
+            e.in_p = e.tag == "p" or e.parent.in_p
         for owner, text in blocks:
-            if id(owner) in shut:
-                continue
-            chain = list(_chain(owner))
-            if any(e.tag == "p" for e in chain):
-                total += len(text)
-                for e in chain:
-                    if id(e) in boxes:
-                        boxes[id(e)] += len(text)
-        # Which boxes hold one, and how many there are on the page.
-        held = {"main": {}, "article": {}, "h1": {}}
-        count = dict.fromkeys(held, 0)
+            if owner.in_p and not owner.shut:
+                owner.told += len(text)
         for e in elements:
-            if e.tag not in held or e.bar != OPEN or id(e) in shut or not (e.size or e.tag == "h1"):
-                continue
-            if e.tag == "article" and 2 * e.size < total:
-                continue
-            count[e.tag] += 1
-            for p in _chain(e.parent):
-                if id(p) in boxes:
-                    held[e.tag][id(p)] = held[e.tag].get(id(p), 0) + 1
+            e.parent.told += e.told
+        for e in elements:
+            own = BITS.get(e.tag, 0)
+            if own and (e.bar != OPEN or e.shut or not (e.size or e.tag == "h1")):
+                own = 0
+            if e.tag == "article" and 2 * e.size < root.told:
+                own = 0
+            e.parent.below |= e.below | own
         for e in elements:
-            own = boxes.get(id(e))
-            if own is None:
+            if e.bar not in (BOX, COMMENTS):
                 continue
-            wrapper = (
-                id(e) in held["main"] or id(e) in held["article"] or (own and id(e) in held["h1"])
-            )
-            if e.bar == BOX and not (count["main"] or count["article"]):
-                wrapper = wrapper or (own >= MIN_PARAGRAPHS and 2 * own > total)
+            wrapper = e.below & MAIN_PARTS or (e.told and e.below & BITS["h1"])
+            if e.bar == BOX and not root.below & MAIN_PARTS:
+                wrapper = wrapper or (e.told >= MIN_PARAGRAPHS and 2 * e.told > root.told)
             if wrapper:
                 e.bar = OPEN
     for e in reversed(elements):
         e.barred = e.bar != OPEN or e.parent.barred
 
 
-def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
-    """(blocks: innermost element and text, in page order; elements, inner ones first)."""
-    root = _Element("#page", None, OPEN)
-    stack, blocks, done = [root], [], []
-    words: list[str] = []
-    owner = root
-    at, end = 0, len(html)
-
-    def flush() -> None:
-        text = " ".join(unescape("".join(words)).split())
-        words.clear()
+def _tag_end(html: str, at: int, missing: set[str]) -> tuple[int, int]:
+    """(end of the attributes, end of the tag) of a tag whose name ends at ``at``. Only a quote
+    behind an equals sign holds a value; one that is never closed holds nothing, so its tag ends
+    at the next ``>``. ``missing`` remembers which quotes do not come any more."""
+    while True:
+        found = STOP.search(html, at)
+        if found is None:
+            return len(html), len(html)
+        sign, place = found[0], found.start()
+        if sign == ">":
+            return place, place + 1
+        at = place + 1
+        before = place - 1
+        while html[before].isspace():
+            before -= 1
+        if html[before] != "=" or sign in missing:
+            continue
+        close = html.find(sign, at)
+        if close < 0:
+            missing.add(sign)
+        else:
+            at = close + 1
+
+
+class _Page:
+    """Open elements, blocks and closed elements while a page is read; every step takes time for
+    what it opens or closes only."""
+
+    def __init__(self):
+        self.root = _Element("#page", None, OPEN)
+        self.stack, self.blocks, self.done = [self.root], [], []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.words: list[str] = []
+        self.owner = self.root
+
+    def say(self, text: str) -> None:
+        if not self.words:
+            self.owner = self.stack[-1]
+        self.words.append(text)
+
+    def flush(self) -> None:
+        text = " ".join(unescape("".join(self.words)).split())
+        self.words.clear()
         if text:
-            blocks.append((owner, text))
-            for element in _chain(owner):
-                element.size += len(text)
+            owner = self.owner
+            while owner.closed:
+                owner = owner.parent
+            self.blocks.append((owner, text))
+            owner.size += len(text)
             owner.digest.update(text.encode("utf-8", "surrogatepass"))
 
-    def close(element: _Element) -> None:
-        element.parent.digest.update(element.digest.digest())
-        element.parent.has_h1 |= element.has_h1 or element.tag == "h1"
-        done.append(element)
-
-    def pop_to(depth: int) -> None:
-        while len(stack) > depth:
-            close(stack.pop())
-
-    for match in TAG.finditer(html):
-        if match.start() < at:
+    def push(self, element: _Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.stack))
+        if element.tag in BLOCK:
+            self.block_places.append(len(self.stack))
+        self.stack.append(element)
+
+    def pop_to(self, depth: int) -> None:
+        if self.words and any(e.bar != OPEN for e in self.stack[depth:]):
+            self.flush()
+        while len(self.stack) > depth:
+            element = self.stack.pop()
+            self.places[element.tag].pop()
+            if element.tag in BLOCK:
+                self.block_places.pop()
+            parent = element.parent
+            element.closed = True
+            parent.size += element.size
+            parent.digest.update(element.digest.digest())
+            parent.heading |= element.heading or element.tag in HEADINGS
+            self.done.append(element)
+
+    def end(self, tag: str, block: bool) -> None:
+        depth = (self.places.get(tag) or [0])[-1]
+        # An inline end tag closes no block.
+        if depth and (block or not self.block_places or self.block_places[-1] <= depth):
+            self.pop_to(depth)
+
+    def implied_end(self, wanted: set[str], scope: set[str]) -> None:
+        """Close the outermost open element of ``wanted`` inside the nearest of ``scope``."""
+        low = max((self.places[t][-1] for t in scope if self.places.get(t)), default=0)
+        found = []
+        for tag in wanted:
+            places = self.places.get(tag) or []
+            at = bisect_right(places, low)
+            found += places[at : at + 1]
+        if found:
+            self.flush()
+            self.pop_to(min(found))
+
+
+P_SCOPE = {"td", "th", "li", "blockquote", "div", "section", "article", "main", "button"}
+
+
+def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element], _Element]:
+    """(blocks: element and text, in page order; elements, inner ones first; the page)."""
+    page, missing = _Page(), set()
+    at = said = 0
+    while (start := html.find("<", at)) >= 0:
+        slash, tag, attributes = "", None, ""
+        if html[start + 1 : start + 2] in ("!", "?"):
+            comment = html.startswith("<!--", start)
+            end = html.find("-->", start + 4) + 3 if comment else html.find(">", start) + 1
+            if end == (2 if comment else 0):
+                end = len(html)
+        elif name := NAME.match(html, start + 1):
+            slash, tag = name[1], name[2].lower()
+            last, end = _tag_end(html, name.end(), missing)
+            attributes = html[name.end() : last]
+        else:
+            at = start + 1
             continue
-        if match.start() > at:
-            if not words:
-                owner = stack[-1]
-            words.append(html[at : match.start()])
-        at = match.end()
-        slash, tag = match[1], match[2]
+        if start > said:
+            page.say(html[said:start])
+        at = said = end
         if tag is None:
             continue
-        tag = tag.lower()
         block = tag in BLOCK or tag in BARRED_TAGS
         if tag == "br":
-            words.append(" ")
+            page.say(" ")
             continue
         if block:
-            flush()
+            page.flush()
         if slash:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                if not block and any(e.tag in BLOCK for e in stack[depth + 1 :]):
-                    continue
-                pop_to(depth)
+            page.end(tag, block)
             continue
         if tag in ENDS_P:
-            depth = _open(stack, {"p"}, {"td", "th", "li", "blockquote", "div", "section", "article", "main", "button"})
-            if depth:
-                flush()
-                pop_to(depth)
+            page.implied_end({"p"}, P_SCOPE)
         if tag in SAME_KIND:
-            depth = _open(stack, *SAME_KIND[tag])
-            if depth:
-                flush()
-                pop_to(depth)
+            page.implied_end(*SAME_KIND[tag])
         if tag in VOID:
             continue
-        parent = stack[-1]
-        element = _Element(tag, parent, _bar(tag, match[3]))
+        parent = page.stack[-1]
+        element = _Element(tag, parent, _bar(tag, attributes, parent.inside))
         if element.bar != OPEN:
-            flush()
-        if match[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+            page.flush()
+        if attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        stack.append(element)
+        page.push(element)
         if tag in RAW:
-            found = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(html, at)
-            pop_to(len(stack) - 1)
-            at = found.end() if found else end
-    if at < end:
-        if not words:
-            owner = stack[-1]
-        words.append(html[at:])
-    flush()
-    pop_to(1)
-    _settle(blocks, done)
-    return blocks, done
-
-
-def _open(stack: list[_Element], wanted: set[str], scope: set[str]) -> int:
-    """Depth of the outermost open element of ``wanted`` inside the nearest ``scope``."""
-    depth = 0
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in scope:
-            break
-        if stack[i].tag in wanted:
-            depth = i
-    return depth
-
-
-def _chain(element: _Element | None) -> Iterator[_Element]:
-    while element is not None:
-        yield element
-        element = element.parent
-
-
-def _main(blocks: list[tuple[_Element, str]], elements: list[_Element]) -> _Element | None:
+            found = RAW_ENDS[tag].search(html, at)
+            page.pop_to(len(page.stack) - 1)
+            at = said = found.end() if found else len(html)
+    if said < len(html):
+        page.say(html[said:])
+    page.flush()
+    page.pop_to(1)
+    _settle(page.blocks, page.done, page.root)
+    return page.blocks, page.done, page.root
+
+
+def _main(elements: list[_Element]) -> _Element | None:
     """The largest article, else the largest main, that is not barred."""
+    for e in reversed(elements):
+        e.above = e.parent.above | BITS.get(e.parent.tag, 0)
     for tag in ("article", "main"):
         found = [
             e for e in elements
-            if e.tag == tag and not e.barred and e.size
-            and not any(p.tag == tag for p in _chain(e.parent))
+            if e.tag == tag and not e.barred and e.size and not e.above & BITS[tag]
         ]
         if found:
             return max(found, key=lambda e: e.size)
     return None
 
 
-def page_blocks(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
-    """(blocks: text, hashes of the subtrees around it inside and outside article or main; hash
-    of what the page says). Subtrees that are barred anyway need no hash."""
-    blocks, elements = parse(html)
+def page_blocks(html: str):
+    """(blocks: text, element's number; elements: parent's number, subtree hash, whether inside
+    article or main, and the hash of what the page says).
+
+    Only elements with text around blocks that may stay are numbered, outer ones first.
+    """
+    blocks, elements, root = parse(html)
+    chosen = _main(elements)
     whole = xxhash.xxh64()
-    numbers = {id(e): e.digest.intdigest() - (1 << 63) for e in elements if e.size}
-    root = _main(blocks, elements)
-    kept = []
-    for owner, text in blocks:
-        chain = list(_chain(owner))
-        if any(e.barred for e in chain) or (root is not None and root not in chain):
-            continue
-        if any(
-            e.tag == "header" and not (e.inside and e.has_h1) for e in chain
-        ):
+    ups, hashes, inside, kept = [], [], [], []
+    # -2: nothing in it stays; -1: stays, with no hash of its own around it.
+    root.number = -1 if chosen is None else -2
+    for e in reversed(elements):
+        e.number = e.parent.number
+        if e is chosen:
+            e.number = -1
+        if e.barred or (e.tag == "header" and not (e.inside and e.heading)):
+            e.number = -2
+        if e.number == -2 or not e.size or e.tag in ("html", "body"):
             continue
-        own = [e for e in chain if id(e) in numbers and e.tag not in ("html", "body")]
-        inner = [numbers[id(e)] for e in own if e.inside]
-        outer = [numbers[id(e)] for e in own if not e.inside]
-        kept.append((text, inner, outer))
-        whole.update(text.encode("utf-8", "surrogatepass") + b"\n")
-    return kept, whole.intdigest() - (1 << 63)
+        ups.append(e.number)
+        e.number = len(hashes)
+        hashes.append(e.digest.intdigest() - (1 << 63))
+        inside.append(e.inside)
+    for owner, text in blocks:
+        if owner.number != -2:
+            kept.append((text, owner.number))
+            whole.update(text.encode("utf-8", "surrogatepass") + b"\n")
+    return kept, (ups, hashes, inside, whole.intdigest() - (1 << 63))
 
 
 PARSED = (
-    "page_id long, url string, content long, "
-    "blocks array<struct<text string, inner array<long>, outer array<long>>>"
+    "page_id long, url string, content long, ups array<int>, hashes array<long>, "
+    "inside array<boolean>, ats array<int>, texts array<string>"
 )
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, content, blocks) of every page."""
-    block = pa.struct(
-        [("text", pa.string()), ("inner", pa.list_(pa.int64())), ("outer", pa.list_(pa.int64()))]
-    )
+    """(page_id, url, host, content, ups, hashes, inside, ats, texts) of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "html"):
             found = [page_blocks(h or "") for h in batch.column("html").to_pylist()]
-            rows = [
-                [{"text": t, "inner": i, "outer": o} for t, i, o in kept] for kept, _ in found
-            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id").cast(pa.int64()),
                     batch.column("url").cast(pa.string()),
-                    pa.array([c for _, c in found], pa.int64()),
-                    pa.array(rows, pa.list_(block)),
+                    pa.array([e[3] for _, e in found], pa.int64()),
+                    pa.array([e[0] for _, e in found], pa.list_(pa.int32())),
+                    pa.array([e[1] for _, e in found], pa.list_(pa.int64())),
+                    pa.array([e[2] for _, e in found], pa.list_(pa.bool_())),
+                    pa.array([[a for _, a in k] for k, _ in found], pa.list_(pa.int32())),
+                    pa.array([[t for t, _ in k] for k, _ in found], pa.list_(pa.string())),
                 ],
-                names=["page_id", "url", "content", "blocks"],
+                names=["page_id", "url", "content", "ups", "hashes", "inside", "ats", "texts"],
             )
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^/?#]*//([^/?#:]*)", 1))
@@ -355,18 +446,12 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def _around(side: str) -> Column:
-    """Distinct hashes of the subtrees around a page's blocks, on one side of article."""
-    return F.array_distinct(F.flatten(F.transform("blocks", lambda b: b[side])))
-
-
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash, share): subtrees on at least ``min_pages`` different pages of a host."""
     contents = parsed.select("host", "content").distinct()
     hosts = contents.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    subtrees = F.array_union(_around("inner"), _around("outer"))
     return (
-        parsed.select("host", "content", F.explode(subtrees).alias("hash")).distinct()
+        parsed.select("host", "content", F.explode(F.array_distinct("hashes")).alias("hash")).distinct()
         .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_pages)
         .join(hosts, "host")
@@ -374,6 +459,31 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     )
 
 
+RESULT = "page_id long, url string, text string, n_chars long, n_blocks int, n_template int"
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each page without the blocks that stand in a subtree of ``gone``."""
+    for batch in batches:
+        rows = []
+        columns = [batch.column(n).to_pylist() for n in ("ups", "hashes", "ats", "texts", "gone")]
+        for ups, hashes, ats, texts, gone in zip(*columns):
+            kept = texts
+            if gone:
+                gone, dead = set(gone), []
+                for up, own in zip(ups, hashes):  # parents come first
+                    dead.append((up >= 0 and dead[up]) or own in gone)
+                kept = [t for at, t in zip(ats, texts) if at < 0 or not dead[at]]
+            text = "\n\n".join(kept)
+            rows.append((text, len(text), len(kept), len(texts) - len(kept)))
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32()]
+        made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), *made],
+            names=["page_id", "url", "text", "n_chars", "n_blocks", "n_template"],
+        )
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_template): blocks kept, joined by an empty
     line, and how many went with a template."""
@@ -381,29 +491,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         parsed_pages(pages).withColumn("row", F.monotonically_increasing_id()), "parsed-pages"
     )
     site = materialize(templates(parsed, min_pages), "site-templates")
-    asked = parsed.select("row", "host", F.explode(
-        F.concat(
-            F.transform(_around("inner"),
-                        lambda h: F.struct(h.alias("hash"), F.lit(MIN_SHARE_INSIDE).alias("least"))),
-            F.transform(_around("outer"),
-                        lambda h: F.struct(h.alias("hash"), F.lit(0.0).alias("least"))),
-        )
-    ).alias("a")).select("row", "host", "a.hash", "a.least")
+    pairs = F.array_distinct(F.arrays_zip("hashes", "inside"))
+    asked = parsed.select("row", "host", F.explode(pairs).alias("a")).select(
+        "row", "host", F.col("a.hashes").alias("hash"),
+        F.when(F.col("a.inside"), MIN_SHARE_INSIDE).otherwise(0.0).alias("least"),
+    )
     gone = materialize(
         asked.join(site, ["host", "hash"]).filter("share >= least")
         .groupBy("row").agg(F.collect_set("hash").alias("gone")),
         "page-templates",
     )
-    left = F.filter(
-        "blocks",
-        lambda b: F.col("gone").isNull()
-        | ~(F.arrays_overlap(b["inner"], "gone") | F.arrays_overlap(b["outer"], "gone")),
-    )
-    text = F.array_join(F.col("kept.text"), "\n\n")
-    return (
-        parsed.select("row", "page_id", "url", "blocks").join(gone, "row", "left")
-        .withColumn("kept", left)
-        .select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"),
-                F.size("kept").alias("n_blocks"),
-                (F.size("blocks") - F.size("kept")).alias("n_template"))
-    )
+    joined = parsed.select("row", "page_id", "url", "ups", "hashes", "ats", "texts").join(gone, "row", "left")
+    return joined.drop("row").mapInArrow(_left, RESULT)
