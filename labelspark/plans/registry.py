@@ -15,6 +15,7 @@ from labelspark.operators import (
 from labelspark.plans import inputs, prediction, profile, training
 from labelspark.session import materialize, new_path
 from labelspark.sources import artifacts, reports, runs, tables
+from labelspark.streaming import prediction as scoring
 from labelspark.streaming import traffic as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -864,6 +865,22 @@ def _streamed(spark, sf_dir, build, keys):
     return live.latest(spark, out, keys)
 
 
+@query
+def stream_predictions(spark, sf_dir):
+    """The documents as a stream of requests, answered and logged; the log, read as a stream too,
+    as counts of requests."""
+    model = training.train_binary_relevance(_prepared(spark, sf_dir), together=True)
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    texts = live.read_log(spark, sf_dir, schema, pattern="documents.parquet").select(
+        F.col("doc_id").alias("instance_id"), F.col("text").alias("overview")
+    )
+    log, out = new_path(spark, "prediction-log"), new_path(spark, "stream-out")
+    scoring.score_stream(model, texts, log, new_path(spark, "stream-state")).awaitTermination()
+    counts = traffic.request_count(scoring.requests(scoring.read_log(spark, log)))
+    live.run(counts, out, new_path(spark, "stream-state")).awaitTermination()
+    return live.latest(spark, out, ["method", "endpoint", "status"], counts.schema)
+
+
 @query
 def stream_request_count(spark, sf_dir):
     return _streamed(
