@@ -799,6 +799,7 @@ SQL["stream_volume_rate"] = SQL["volume_rate"]
 SQL["stream_mean_confidence"] = SQL["mean_confidence"]
 SQL["stream_metrics_snapshot"] = SQL["metrics_snapshot"]
 
+SQL["stream_current_snapshot"] = SQL["metrics_snapshot"]
 SQL["stream_predictions"] = """SELECT 'POST' AS method, '/predict/transformation' AS endpoint,
   CASE WHEN text IS NULL OR length(text) < 10 OR length(text) > 10000 OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) = ''
        THEN 422 ELSE 200 END AS status, count(*) AS count

@@ -951,3 +951,16 @@ def stream_metrics_snapshot(spark, sf_dir):
         _streamed(spark, sf_dir, build, keys) for build, keys in traffic.SNAPSHOT_PARTS
     ]
     return _series_rows(traffic.snapshot_of(*parts))
+
+
+@query
+def stream_current_snapshot(spark, sf_dir):
+    """As ``stream_metrics_snapshot``, from streams that keep their present result only."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    parts = []
+    for build, keys in traffic.SNAPSHOT_PARTS:
+        events = live.read_log(spark, sf_dir, schema, pattern="events.parquet")
+        running, out = build(inputs.prediction_log(events)), new_path(spark, "stream-current")
+        live.run_current(running, out, new_path(spark, "stream-state"), keys).awaitTermination()
+        parts.append(live.current(spark, out, running.schema))
+    return _series_rows(traffic.snapshot_of(*parts))

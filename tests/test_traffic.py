@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import os
 
 import pytest
 
@@ -123,3 +124,40 @@ def test_stream_of_unordered_files(spark, tmp_path):
 def test_latest_before_any_batch(spark, tmp_path):
     schema = traffic.prediction_volume(_log(spark)).schema
     assert live.latest(spark, f"{tmp_path}/nothing", ["model_type"], schema).count() == 0
+
+
+def test_current_result_is_one_bounded_version(spark, tmp_path):
+    """Whatever the number of batches, the present result equals the batch and is read from one
+    folder; a version before it is kept, older ones go."""
+    log = _log(spark)
+    path = str(tmp_path / "log")
+    log.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 5).parquet(path)
+    for i, (build, keys) in enumerate([*traffic.SNAPSHOT_PARTS, (traffic.mean_confidence, [])]):
+        running, out = build(live.read_log(spark, path, log.schema, 1)), f"{tmp_path}/out{i}"
+        assert live.current(spark, out, running.schema).count() == 0
+        live.run_current(running, out, f"{tmp_path}/state{i}", keys).awaitTermination()
+        got = live.current(spark, out, running.schema)
+        a, b = rows(got, *keys), rows(build(log).select(*got.columns), *keys)
+        assert len(a) == len(b) > 0
+        for x, y in zip(a, b):
+            assert all(u == v or math.isclose(u, v) for u, v in zip(x, y))
+        assert sorted(os.listdir(out)) == ["version=7", "version=8"]
+        # The last batch run again, its state lost: finished versions stay as they are.
+        before = os.path.getmtime(f"{out}/version=8/_SUCCESS")
+        live.run_current(build(live.read_log(spark, path, log.schema)), out, f"{tmp_path}/other{i}", keys).awaitTermination()
+        assert os.path.getmtime(f"{out}/version=8/_SUCCESS") == before
+        assert sorted(os.listdir(out)) == ["version=7", "version=8"]
+
+
+def test_past_windows_expire(spark, tmp_path):
+    log = _log(spark)
+    path = str(tmp_path / "log")
+    log.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 7).parquet(path)
+    running = live.request_rate(live.read_log(spark, path, log.schema, 1))
+    keys = ["window_start", "method", "endpoint", "status"]
+    live.run_current(running, f"{tmp_path}/out", f"{tmp_path}/state", keys, ("window_start", 60)).awaitTermination()
+    got = live.current(spark, f"{tmp_path}/out", running.schema)
+    want = live.request_rate(log)
+    last = want.agg({"window_start": "max"}).first()[0]
+    columns = want.columns
+    assert rows(got.select(*columns), *keys) == rows(want.filter(f"window_start >= {last - 60}"), *keys)
