@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from labelspark.operators import neighbours
+from labelspark.operators import neighbours, similarity
 
 
 def _vectors(spark, n, seed):
@@ -48,3 +48,25 @@ def test_written_rows_do_not_grow_with_pairs(spark, monkeypatch):
     for rep, row in enumerate(distances):
         order = np.lexsort((np.arange(len(train)), row))[:k]
         assert sorted(got[rep]) == [(row[i], i) for i in order if row[i] < 2]
+
+
+def test_near_duplicates_write_no_list_per_term(spark, monkeypatch):
+    """All vectors share one heavy term; what is written holds each of them once."""
+    sizes, written = {}, similarity.materialize
+
+    def counted(df, name, *args):
+        found = written(df, name, *args)
+        sizes[name] = found.count()
+        return found
+
+    monkeypatch.setattr(similarity, "SPLIT_ROWS", 8)
+    monkeypatch.setattr(similarity, "materialize", counted)
+    rows = [(rep, 1, 0.95) for rep in range(40)] + [
+        (rep, 2 + rep % 20 + 20 * j, ((1 - 0.95**2) / 3) ** 0.5) for rep in range(40) for j in range(3)
+    ]
+    vectors = spark.createDataFrame(rows, "rep bigint, rarity int, weight double")
+    found = {(r["a"], r["b"]): r["similarity"] for r in similarity.similar_vectors(vectors, 0.9).collect()}
+    assert found == {
+        (a, b): 1.0 if (b - a) % 20 == 0 else 0.9025 for a in range(40) for b in range(a + 1, 40)
+    }
+    assert max(sizes.values()) <= 40
