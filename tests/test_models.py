@@ -11,7 +11,7 @@ from labelspark.operators import (
     split,
     tfidf,
 )
-from labelspark.plans import prediction, training
+from labelspark.plans import prediction, registry, training
 from labelspark.sources import artifacts, runs
 from tests.conftest import rows
 
@@ -220,6 +220,36 @@ def test_a_failing_model_does_not_stop_the_other(spark, tmp_path, monkeypatch):
     assert set(table) == {("ml_knn",)}
 
 
+def test_a_failure_does_not_pass_for_a_result(spark, tmp_path, monkeypatch):
+    def fail(*_):
+        raise ValueError("no fit today")
+
+    monkeypatch.setattr(training, "train_binary_relevance", fail)
+    catalogue = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    path = str(tmp_path / "a")
+    with pytest.raises(RuntimeError, match="binary_relevance; no fit today"):
+        training.train_all(_toy(spark), catalogue, path, k=3, profile=TOY, complete=True)
+    kinds = {(r["experiment"], r["kind"]) for r in runs.read(spark, f"{path}/runs").collect()}
+    assert ("binary_relevance", "error") in kinds and ("ml_knn", "metric") in kinds
+    with pytest.raises(RuntimeError, match="no fit today"):
+        training.train_all(
+            _toy(spark), catalogue, str(tmp_path / "b"), models=("binary_relevance",), k=3, profile=TOY
+        )
+
+
+def test_train_all_models_asks_for_every_model(spark, monkeypatch):
+    def fail(*_):
+        raise ValueError("no fit today")
+
+    docs = _toy(spark)
+    catalogue = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    monkeypatch.setattr(training, "train_ml_knn", fail)
+    monkeypatch.setattr(registry.inputs, "labelled_documents", lambda *_: docs)
+    monkeypatch.setattr(registry.inputs, "document_catalogue", lambda *_: catalogue)
+    with pytest.raises(RuntimeError, match="ml_knn"):
+        registry.QUERIES["train_all_models"](spark, "")
+
+
 def test_compare_models_prefers_low_loss(spark):
     data = [("r", "binary_relevance", "metric", "hamming_loss", "0.2"), ("s", "ml_knn", "metric", "hamming_loss", "0.1"),
             ("r", "binary_relevance", "metric", "f1_micro", "0.2"), ("s", "ml_knn", "metric", "f1_micro", "0.1")]
