@@ -1,9 +1,15 @@
 """The exact search keeps what it writes in proportion to queries and training vectors."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from labelspark.operators import neighbours, similarity
 
+neighbours_type = pa.struct(
+    {"rep": pa.int64(), "terms": pa.list_(pa.int32()), "weights": pa.list_(pa.float64())}
+)
+
 
 def _vectors(spark, n, seed):
     rng = np.random.default_rng(seed)
@@ -70,3 +76,32 @@ def test_near_duplicates_write_no_list_per_term(spark, monkeypatch):
         (a, b): 1.0 if (b - a) % 20 == 0 else 0.9025 for a in range(40) for b in range(a + 1, 40)
     }
     assert max(sizes.values()) <= 40
+
+
+@pytest.mark.parametrize(("share", "entries"), [(50, 1_000_000), (50, 7), (10**9, 7)])
+def test_sketches_leave_few_pairs_to_multiply(monkeypatch, share, entries):
+    """Blocks with few similar vectors are not multiplied as a whole; what is found is the same
+    whether sketches or whole products are used."""
+    pick = np.random.default_rng(3)
+    n, n_terms = 60, 300
+    matrix = np.zeros((2 * n, n_terms + 1))
+    for row in matrix:
+        row[pick.choice(n_terms, 12, replace=False) + 1] = pick.random(12) + 0.1
+    matrix[n : n + 5] = matrix[:5]
+    matrix[n : n + 5, 1:4] += 0.2
+    matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
+    blocks = [
+        pa.array([
+            {"rep": i, "terms": np.flatnonzero(matrix[i]).tolist(), "weights": matrix[i][matrix[i] > 0].tolist()}
+            for i in reps
+        ], neighbours_type)
+        for reps in (range(n), range(n, 2 * n))
+    ]
+    monkeypatch.setattr(neighbours, "POSSIBLE_SHARE", share)
+    monkeypatch.setattr(neighbours, "DOT_PRODUCTS", entries)
+    whole, made = neighbours._cosines, []
+    monkeypatch.setattr(neighbours, "_cosines", lambda *args: made.append(1) or whole(*args))
+    a, b, cosines = neighbours._pairs_from(*blocks, 0.8)
+    assert bool(made) == (share > n * n)
+    want = {(i, j): matrix[i] @ matrix[j] for i in range(n) for j in range(n, 2 * n) if matrix[i] @ matrix[j] >= 0.8}
+    assert len(want) == 5 and dict(zip(zip(a.tolist(), b.tolist()), cosines)) == pytest.approx(want)
