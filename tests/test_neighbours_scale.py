@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from labelspark.operators import neighbours, similarity
 
@@ -105,3 +106,27 @@ def test_sketches_leave_few_pairs_to_multiply(monkeypatch, share, entries):
     assert bool(made) == (share > n * n)
     want = {(i, j): matrix[i] @ matrix[j] for i in range(n) for j in range(n, 2 * n) if matrix[i] @ matrix[j] >= 0.8}
     assert len(want) == 5 and dict(zip(zip(a.tolist(), b.tolist()), cosines)) == pytest.approx(want)
+
+
+def test_every_task_meets_as_many_blocks_and_tiles(spark):
+    packed = spark.range(32).selectExpr("id AS tile", "array(id) AS packed")
+    pairs = neighbours.block_pairs(packed, packed)
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 32 * 32
+    # 4 blocks and a third of the 32 tiles, at 4 cores and partitions.
+    assert len(sizes) == 8 * 3 and max(sizes) == 4 * 11 and min(sizes) == 4 * 10
+
+
+def test_products_of_a_few_queries_are_held_at_a_time(monkeypatch):
+    """However many terms are frequent or rare, the same cosines come in parts of few queries."""
+    pick = np.random.default_rng(5)
+    a, b = (pick.random((n, 40)) * (pick.random((n, 40)) < 0.5) for n in (20, 30))
+    entries = [neighbours._by_term((*np.nonzero(m), m[np.nonzero(m)])) for m in (a, b)]
+    monkeypatch.setattr(neighbours, "SLICE_ROWS", 6)
+    for terms, products in ((2048, 100_000), (3, 50), (0, 1)):
+        monkeypatch.setattr(neighbours, "DENSE_TERMS", terms or 1)
+        monkeypatch.setattr(neighbours, "DENSE_SHARE", 1e-9 if not terms else 300)
+        monkeypatch.setattr(neighbours, "SLICE_PRODUCTS", products)
+        parts = list(neighbours._products((20, 30), *entries))
+        assert [low for low, _ in parts] == [0, 6, 12, 18]
+        assert np.allclose(np.concatenate([p for _, p in parts]), a @ b.T)
